@@ -42,11 +42,11 @@ SQL: dict[str, str] = {
         SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, list_aggregate(w[i : i + 14], 'string_agg', ' ') AS g FROM d) JOIN (SELECT item_id, list_aggregate(w[i : i + 14], 'string_agg', ' ') AS g FROM e) USING (g)""",
     "p9_stats": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x, {_W.format("coalesce(text, '')")} AS w FROM documents),
-        l AS (SELECT *, list_filter(string_split(x, chr(10)), q -> trim(q, ' ') <> '') AS lines, len(list_filter(w, q -> q IN ({_COMMON}))) AS common FROM t)
+        l AS (SELECT *, list_filter(string_split(x, chr(10)), lambda q: trim(q, ' ') <> '') AS lines, len(list_filter(w, lambda q: q IN ({_COMMON}))) AS common FROM t)
         SELECT DISTINCT doc_id, len(w)::BIGINT AS word_count,
           round(CASE WHEN len(w) > 0 THEN length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g'))::DOUBLE / len(w) ELSE 0 END, 6) AS mean_word_length,
           round(CASE WHEN length(x) > 0 THEN length(regexp_replace(x, '[\\p{{L}}\\p{{N}}\\s]', '', 'g'))::DOUBLE / length(x) ELSE 0 END, 6) AS symbol_ratio,
-          round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, q -> regexp_matches(q, '[.!?…。！？]["''”’)\\]» ]*$')))::DOUBLE / len(lines) ELSE 0 END, 6) AS punctuated_lines,
+          round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda q: regexp_matches(q, '[.!?…。！？]["''”’)\\]» ]*$')))::DOUBLE / len(lines) ELSE 0 END, 6) AS punctuated_lines,
           round(CASE WHEN len(w) > 0 THEN common::DOUBLE / len(w) ELSE 0 END, 6) AS common_words
         FROM l""",
 }
