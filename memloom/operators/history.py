@@ -55,23 +55,24 @@ def parents(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.shiftrightunsigned("leaf", FAN_BITS).alias("leaf")).agg(*_sums(F.xxhash64("leaf", "lo", "hi", "n")))
 
 
-def changed_leaves(old: DataFrame, new: DataFrame, bits: int) -> DataFrame:
+def tree(snapshot: DataFrame, bits: int) -> list[DataFrame]:
+    """Digests of a snapshot by level, leaves first, root last; each level is written once."""
+    levels = [written(leaves(snapshot))]
+    for _ in range(bits // FAN_BITS):
+        levels.append(written(parents(levels[-1])))
+    return levels
+
+
+def changed_leaves(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
     """Leaf numbers whose buckets differ, found by descending from the root into differing nodes only."""
-    trees = []
-    for nodes in (old, new):
-        levels = [nodes]
-        for _ in range(bits // FAN_BITS):
-            levels.append(parents(levels[-1]))
-        trees.append(levels)
     differing = None
-    for a, b in reversed(list(zip(*trees, strict=True))):
+    for a, b in reversed(list(zip(old, new, strict=True))):
         if differing is not None:
-            up = F.shiftrightunsigned("leaf", FAN_BITS)
-            d = differing.select(F.col("leaf").alias("up"))
-            a, b = (x.join(d, up == F.col("up"), "left_semi") for x in (a, b))
+            near = small(differing.select(F.col("leaf").alias("up")))
+            a, b = (x.join(near, F.shiftrightunsigned("leaf", FAN_BITS) == F.col("up"), "left_semi") for x in (a, b))
         a = a.select("leaf", F.struct("lo", "hi", "n").alias("a"))
         b = b.select("leaf", F.struct("lo", "hi", "n").alias("b"))
-        differing = a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf")
+        differing = written(a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf"))
     return differing
 
 
@@ -127,26 +128,25 @@ def latest_per_start(rows: DataFrame) -> DataFrame:
     return rows.groupBy("leaf", *KEYS, "start").agg(one).select("leaf", *KEYS, "start", "r.id", "r.object", "r.end")
 
 
-def apply_snapshot(history: DataFrame | None, old_leaves: DataFrame | None, snapshot: DataFrame, number: int, bits: int, key_rows: int = KEY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Brings ``history`` up to ``snapshot``; returns the new history and the leaf digests to compare with next time.
+def apply_snapshot(history: DataFrame | None, old_tree: list[DataFrame] | None, snapshot: DataFrame, number: int, bits: int, key_rows: int = KEY_ROWS) -> tuple[DataFrame, list[DataFrame]]:
+    """Brings ``history`` up to ``snapshot``; returns the new history and the tree to compare with next time.
 
     ``history`` holds every version that any snapshot gave: ``seen`` is the number of the snapshot that added it,
     ``retired`` that of the one that no longer has it (null: it holds). ``snapshot`` has the columns leaf, subject,
     predicate, id, object, start, end. An empty snapshot retires every version.
     """
-    new_leaves = written(leaves(snapshot))
-    old_leaves = new_leaves.limit(0) if old_leaves is None else old_leaves
-    changed = written(changed_leaves(old_leaves, new_leaves, bits))
+    new_tree = tree(snapshot, bits)
+    changed = new_tree[0].select("leaf") if old_tree is None else changed_leaves(old_tree, new_tree)
     now = versions(latest_per_start(snapshot.join(changed, "leaf", "left_semi")), key_rows)
     if history is None:
-        return written(now.withColumn("seen", F.lit(number)).withColumn("retired", F.lit(None).cast("int"))), new_leaves
+        return written(now.withColumn("seen", F.lit(number)).withColumn("retired", F.lit(None).cast("int"))), new_tree
     cols = ["leaf", *KEYS, "object", "starts", "ends"]
     current = history.where("retired IS NULL").join(changed, "leaf", "left_semi")
     both = current.select(*cols, F.col("seen")).unionByName(now.withColumn("seen", F.lit(None).cast("int")))
     merged = both.groupBy(*cols).agg(F.max("seen").alias("seen"), F.max(F.col("seen").isNull()).alias("holds"))
     merged = merged.select(*cols, F.coalesce("seen", F.lit(number)).alias("seen"), F.when(~F.col("holds"), number).cast("int").alias("retired"))
     untouched = history.where("retired IS NULL").join(changed, "leaf", "left_anti").unionByName(history.where("retired IS NOT NULL"))
-    return written(untouched.unionByName(merged)), new_leaves
+    return written(untouched.unionByName(merged)), new_tree
 
 
 def history_of(rows: DataFrame, periods: int = 3, key_rows: int = KEY_ROWS) -> DataFrame:
