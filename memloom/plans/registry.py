@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from memloom.operators import history, timestamps
+from memloom.plans import graph, kg, relational, search, streams, text
+
+_MODULES = (relational, search, kg, graph, text, streams)
 
 QUERIES = {
     "p2_found": history.p2_found,
     "p2_history": history.p2_history,
     "p3_found": timestamps.p3_found,
 }
-
 SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
