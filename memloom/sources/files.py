@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PATTERNS = ("*.txt", "*.md", "*.py", "*.json", "*.yaml", "*.yml", "*.cfg", "*.ini", "*.log")
 MESSAGE = "session string, id string, ts string, role string, content string"
@@ -63,12 +64,20 @@ def text_files(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTE
     for n in names:
         fits = fits | F.regexp_extract(path, r"[^/]+$", 0).rlike(n)
     b = b.where((F.col("length") <= most_bytes) & fits & ~ignored(at, rules or []))
-    return b.select(path.alias("path"), decoded(F.col("content")).alias("text"), F.col("modificationTime").alias("modified"))
+    return b.select(path.alias("path"), decoded("content").alias("text"), F.col("modificationTime").alias("modified"))
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8 where they are valid, else Windows-1252."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1252"))
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as text: UTF-8 where they are valid, else Windows-1252 with marks for what that lacks."""
+
+    def read(b: bytes) -> str:
+        try:
+            return b.decode("utf-8")
+        except UnicodeDecodeError:
+            return b.decode("cp1252", "replace")
+
+    return content.map(lambda b: None if b is None else read(bytes(b)))
 
 
 def flattened(content) -> str:
