@@ -77,19 +77,18 @@ def _search(low: int, k: int):
         t = pa.Table.from_batches(list(batches))
         if not t.num_rows:
             return
-        t = t.combine_chunks()
         ids = t["id"].combine_chunks().dictionary_encode()
         who = ids.indices.to_numpy()
         part, code, indexed = (t[c].to_numpy() for c in ("part", "code", "indexed"))
-        x = np.frombuffer(b"".join(t["v"].to_pylist()), np.int16).reshape(t.num_rows, -1)
+        v = t["v"].combine_chunks()
         del t
+        x = np.frombuffer(v.buffers()[2], np.int16).reshape(len(v), -1)
+        # Whole numbers stay as they are; only what a product needs becomes floats.
+        inverse = np.concatenate([1 / np.maximum(np.linalg.norm(x[k : k + 8192].astype(np.float32), axis=1), 1) for k in range(0, len(x), 8192)])
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             own = own[np.argsort(code[own], kind="stable")]
             held = own[indexed[own]]
-            xs, hs = x[own].astype(np.float32), x[held].astype(np.float32)
-            for m in (xs, hs):
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1)
             edges = np.searchsorted(code[held], np.arange((1 << low) + 1))
             bounds = np.searchsorted(code[own], np.arange((1 << low) + 1))
             for c in np.flatnonzero(np.diff(bounds)):
@@ -99,17 +98,20 @@ def _search(low: int, k: int):
                 if not full.any():
                     continue
                 met = np.concatenate([np.arange(a, b) for a, b in zip(lo[full], hi[full], strict=True)])
-                y = hs[met]
+                at = held[met]
+                y = x[at].astype(np.float32).T
                 for b in range(bounds[c], bounds[c + 1], BLOCK):
                     q = np.arange(b, min(b + BLOCK, bounds[c + 1]))
-                    cos = xs[q] @ y.T
-                    cos[who[own[q]][:, None] == who[held[met]][None, :]] = -2
+                    cos = x[own[q]].astype(np.float32) @ y
+                    cos *= inverse[own[q]][:, None]
+                    cos *= inverse[at][None, :]
+                    cos[who[own[q]][:, None] == who[at][None, :]] = -2
                     take = min(k + 3, len(met))
                     top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(met) else np.broadcast_to(np.arange(take), (len(q), take))
                     best = np.take_along_axis(cos, top, 1)
                     ok = best > -2
                     a = np.repeat(own[q], take).reshape(top.shape)[ok]
-                    yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(who[a])), ids.dictionary.take(pa.array(who[held[met[top]]][ok])), pa.array(best[ok])], ["id", "other", "cos"])
+                    yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(who[a])), ids.dictionary.take(pa.array(who[at[top]][ok])), pa.array(best[ok])], ["id", "other", "cos"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
