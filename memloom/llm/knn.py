@@ -87,6 +87,7 @@ def _search(low: int, k: int):
         inverse = np.concatenate([1 / np.maximum(np.linalg.norm(x[k : k + 8192].astype(np.float32), axis=1), 1) for k in range(0, len(x), 8192)])
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
+            own = own[np.unique(who[own], return_index=True)[1]]  # an id delivered twice stands once
             own = own[np.argsort(code[own], kind="stable")]
             held = own[indexed[own]]
             edges = np.searchsorted(code[held], np.arange((1 << low) + 1))
@@ -106,7 +107,7 @@ def _search(low: int, k: int):
                     cos *= inverse[own[q]][:, None]
                     cos *= inverse[at][None, :]
                     cos[who[own[q]][:, None] == who[at][None, :]] = -2
-                    take = min(k + 3, len(met))
+                    take = min(k + 1, len(met))
                     top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(met) else np.broadcast_to(np.arange(take), (len(q), take))
                     best = np.take_along_axis(cos, top, 1)
                     ok = best > -2
