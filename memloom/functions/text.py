@@ -218,3 +218,20 @@ def entities_in(text: str) -> list[dict]:
 @F.pandas_udf(ArrayType(_SPAN))
 def named_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: entities_in(t) if t else [])
+
+
+def packed(text: str, most: int = 2000) -> list[str]:
+    """Lines packed in order into texts of at most ``most`` characters; a longer line stands alone, cut at ``most``."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        for piece in (line[k : k + most] for k in range(0, max(1, len(line)), most)):
+            if out and len(out[-1]) + 1 + len(piece) <= most:
+                out[-1] += "\n" + piece
+            else:
+                out.append(piece)
+    return out
+
+
+@F.pandas_udf(ArrayType(_CHUNK))
+def packed_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"i": k, "text": p} for k, p in enumerate(packed(t))] if t else [])

@@ -172,3 +172,15 @@ def sanitized(query: str, most: int = 250) -> str:
         if len(s) >= 10:
             return s[-most:]
     return q[-most:]
+
+
+def tfidf(df: DataFrame, least: int = 2, most: float = 0.85, vocabulary: int = 32_768) -> DataFrame:
+    """(id, term, weight) of every row's terms: term frequency by length times ln((n + 1) / (df + 1)) + 1, over terms in
+    at least ``least`` rows and at most the share ``most`` of them, the ``vocabulary`` most frequent. ``df``: id, content;
+    ids are unique. The vocabulary is bounded, so it is broadcast."""
+    n = df.count()
+    t = df.withColumn("tok", tokens(F.coalesce("content", F.lit(""))))
+    t = t.select("id", F.size("tok").alias("dl"), F.explode("tok").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("c"))
+    v = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("df"), "term").limit(vocabulary)
+    weight = F.col("c").cast("double") / F.col("dl") * (F.log((n + 1.0) / (F.col("df") + 1)) + 1)
+    return t.join(F.broadcast(v), "term").select("id", "term", F.round(weight, 6).alias("weight"))

@@ -233,3 +233,11 @@ def search_memories(spark: SparkSession, d: str) -> DataFrame:
     ranked = S.hybrid_rank(cand.select("id", "distance", "content"), TERMS, 5)
     pre = nodes(spark, d).where("source_file <> ''").groupBy("source_file").agg(F.substring(F.min_by("content", "id"), 1, 200).alias("node_preview"))
     return ranked.join(e.select("id", "realm", "domain", "source_file"), "id").join(pre, "source_file", "left").select("id", "bm25_score", "score", "realm", "domain", "node_preview")
+
+
+_TF = f"t AS (SELECT id, w, len(tok) AS dl, count(*) AS c FROM (SELECT id, tok, unnest(tok) AS w FROM (SELECT id, {_TOK} AS tok FROM ents)) GROUP BY ALL), v AS (SELECT w, count(*) AS df FROM t GROUP BY w HAVING count(*) >= 2 AND count(*) <= 0.85::DOUBLE * (SELECT count(*) FROM ents) ORDER BY df DESC, w LIMIT 32768)"
+
+
+@query(f"{WITH}, {_TF} SELECT id, w AS term, round(c::DOUBLE / dl * (ln(((SELECT count(*) FROM ents) + 1)::DOUBLE / (df + 1)) + 1), 6) AS weight FROM t JOIN v USING (w)")
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    return S.tfidf(entities(spark, d).select("id", "content"))

@@ -233,3 +233,46 @@ def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
     s = _ranks(spark, d, 10).groupBy("query_id").agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum("rel").cast("int").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return s.select("query_id", F.round(F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"))
+
+
+_TURNS = """l AS (SELECT doc_id, i, line, regexp_extract(line, '^(User|Assistant): ', 1) AS role FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE source = 'chat_export' AND text IS NOT NULL))),
+    n AS (SELECT *, sum((role <> '')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS turn FROM l), t AS (SELECT doc_id, turn::BIGINT AS turn, max(role) AS role, string_agg(regexp_replace(line, '^(User|Assistant): ', ''), chr(10) ORDER BY i) AS message FROM n WHERE turn > 0 GROUP BY ALL)"""
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of exported chats: (doc_id, turn, role, message). The window runs within one text."""
+    pat = "^(User|Assistant): "
+    chats = table(spark, d, "documents").where("source = 'chat_export'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    role = F.regexp_extract("line", pat, 1)
+    n = chats.withColumn("role", role).withColumn("turn", F.sum((F.col("role") != "").cast("long")).over(Window.partitionBy("doc_id").orderBy("i"))).where("turn > 0")
+    lines = F.array_sort(F.collect_list(F.struct("i", F.regexp_replace("line", pat, "").alias("line"))))
+    return n.groupBy("doc_id", "turn").agg(F.max("role").alias("role"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("message"))
+
+
+@query(f"WITH {_TURNS} SELECT doc_id, turn, role, message FROM t")
+def chat_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns(spark, d).select("doc_id", "turn", "role", "message")
+
+
+@query(f"WITH {_TURNS}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn DESC) AS k FROM t WHERE role = 'User') SELECT doc_id, count(*) FILTER (k <= 30) AS recent, string_agg(substr(message, 1, 80), ' | ' ORDER BY turn) FILTER (k <= 10) AS summary FROM u GROUP BY doc_id")
+def checkpoint_summary(spark: SparkSession, d: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("turn")))
+    u = turns(spark, d).where("role = 'User'").withColumn("k", k)
+    last = F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("turn", F.substring("message", 1, 80).alias("m")))))
+    return u.groupBy("doc_id").agg(F.count_if(F.col("k") <= 30).alias("recent"), F.array_join(F.transform(last, lambda x: x["m"]), " | ").alias("summary"))
+
+
+@query(f"{WITH}, r AS (SELECT id, realm, unnest(list_distinct(regexp_extract_all(content, 'ent_[0-9]+'))) AS ref FROM nods) SELECT r.id, round(count(e.id)::DOUBLE / count(*), 6) AS recall FROM r LEFT JOIN ents e ON e.id = r.ref AND e.realm = r.realm GROUP BY r.id")
+def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
+    from memloom.sources.tables import nodes
+
+    r = nodes(spark, d).select("id", "realm", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("ent_[0-9]+"), F.lit(0)))).alias("ref"))
+    e = table(spark, d, "entities").select(F.col("id").alias("ref"), "realm").distinct().withColumn("hit", F.lit(1))
+    return r.join(e, ["ref", "realm"], "left").groupBy("id").agg(F.round(F.count("hit").cast("double") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+@query()
+def packed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    from memloom.sources.tables import nodes
+
+    return nodes(spark, d).select("id", F.explode(T.packed_lines("content")).alias("c")).select("id", "c.i", "c.text")
