@@ -57,7 +57,7 @@ LOCAL = re.compile(r"(?<![\w.+%-])[^\W_](?:[\w%+'-]|\.(?=[\w%+-]))*$")
 DOMAIN = re.compile(rf"(?:[^\W_](?:[\w-]*[^\W_])?{_DOT})+[^\W\d_]{{2,}}(?![\w-]*@)")
 
 NATIONAL = re.compile(
-    r"(?<![\w.-])(?:"
+    r"(?<![\w.+-])(?:"
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])"  # UK insurance number
     r"|\d{3}([- ])\d{2}\1\d{4}(?![\w-])"  # US
     r"|[12](?: \d{2}){3} \d{3} \d{3}(?: \d{2})?(?!\w)|[12]\d{2}(?:0[1-9]|1[0-9]|[2-9]\d)\d{8}(?:\d{2})?(?!\w)"  # French

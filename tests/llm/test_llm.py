@@ -157,6 +157,7 @@ FOUND = [
     ("Rückruf unter 030/23125259 oder +49 (0)30 23125-507", ["phone:03023125259", "phone:4903023125507"]),
     ("Appelez le 01 99 00 12 34. Llama al 900 000 123.", ["phone:0199001234", "phone:900000123"]),
     ("ID 912-34-5678, part no. 8817-58-8, QQ 12 34 56 C", ["national_id:912345678", "national_id:qq123456c"]),
+    ("Llama al +34 900 000 531 o (+34) 900000228", ["phone:34900000531", "phone:34900000228"]),
     ("Steuer-ID 00216230247, DNI 00331122-H", ["national_id:00216230247", "national_id:00331122h"]),
     ("Numéro de sécurité sociale 2 82 13 99 536 527 19", ["national_id:282139953652719"]),
     ("He lives at 141 Wherry Way, Norrfeld", ["street:141wherryway"]),
