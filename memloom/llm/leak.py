@@ -21,7 +21,7 @@ from memloom.session import table
 
 RUN, BLOCK = 15, 2
 #: Items in one set of tables. More items are searched for set by set.
-ITEMS = 20_000
+ITEMS = 2_000
 
 
 class Tables:

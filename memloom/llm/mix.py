@@ -106,7 +106,8 @@ def mixed(docs: DataFrame, targets: DataFrame, size: int | None = None, vocabula
     give an empty selection. Each target source must be given once.
     """
     spark = docs.sparkSession
-    sized = sized_documents(docs.where("source IS NOT NULL"), vocabulary).where("tokens > 0")
+    names = [r["source"] for r in targets.select("source").distinct().collect() if r["source"] is not None]
+    sized = sized_documents(docs.where(F.col("source").isin(names)), vocabulary).where("tokens > 0")
     wanted, targets_of = budgets(sized, targets, size)
     cut = thresholds(sized, wanted)
     plan = spark.createDataFrame([(s, w, p) for s, (w, p) in cut.items()], "source string, whole int, prefix long")
