@@ -75,70 +75,72 @@ PROFILES = list(EXAMPLES)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\w+|[^\w\s]+")
 _MARK = re.compile(r"\s*(?:[-*•+–]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\[[ xX]\])\s")
 _PROSE_MARKS, _END = frozenset(".,!?;:'\"’‘“”«»…¿¡()-–—、。！？「」"), frozenset(".!?…。！？")
-_KANA = re.compile(r"[぀-ヿ]")
-_HAN = re.compile(r"[㐀-鿿]")
 #: Token classes: function words of each language, lower-case, capitalised and upper-case words, digits, codes, marks of prose, other marks, item marks, lone words of a line.
 TOKENS = len(_LANGUAGES) + 8
 CHARS = 8  # lower, upper, digit, prose mark, other mark, kana, Han, blank
 
 
-def described(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distributions of the tokens and of the characters of a line."""
-    t, c = np.zeros(TOKENS), np.zeros(CHARS)
+def _char_class(c: str) -> int:
+    if c.isspace():
+        return 7
+    if "\u3040" <= c <= "\u30ff":
+        return 5
+    if "\u3400" <= c <= "\u9fff":
+        return 6
+    if c.isalpha():
+        return 0 if c.islower() else 1
+    return 2 if c.isdigit() else 3 if c in _PROSE_MARKS else 4
+
+
+_CLASS = np.array([_char_class(chr(k)) for k in range(65536)], np.int64)
+_WEIGHT = np.array([1, 1, 1, 1, 1, 3, 3, 1.0])  # a character of these scripts says as much as three letters
+
+
+def described(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distributions of the tokens and of the characters of each line, and its number of non-blank characters."""
     n = len(_LANGUAGES)
-    plain = 0
-    for m in _TOKEN.finditer(line):
-        w = m[0]
-        low = w.lower()
-        if low in _OF:
-            own = _OF[low]
-            for k in own:
-                t[k] += 1 / len(own)
-        elif w.isalpha() or "-" in w or "'" in w or "’" in w:
-            kind = n if w.islower() else n + 2 if len(w) > 1 and w.isupper() else n + 1
-            t[kind] += 1
-            plain += 1
-        elif w.isdigit():
-            t[n + 3] += 1
-        elif w[0].isalnum() or w[0] == "_":
-            t[n + 4] += 1
-        elif all(x in _PROSE_MARKS for x in w) and len(w) <= 3:
-            t[n + 5] += 1
-        else:
-            t[n + 6] += min(len(w), 4)
-    if _MARK.match(line):
-        t[n + 7] += 2
-    kana, han = len(_KANA.findall(line)), len(_HAN.findall(line))
-    c[5], c[6] = 3 * kana, 3 * han
-    for x in line:
-        if x.isspace():
-            c[7] += 1
-        elif x.isalpha():
-            c[0 if x.islower() else 1] += 1
-        elif x.isdigit():
-            c[2] += 1
-        elif x in _PROSE_MARKS:
-            c[3] += 1
-        else:
-            c[4] += 1
-    c[0] = max(0.0, c[0])
-    c[1] = max(0.0, c[1] - kana - han)
-    return t / max(t.sum(), 1e-9), c / max(c.sum(), 1e-9)
+    t = np.zeros((len(lines), TOKENS))
+    for own, line in zip(t, lines, strict=True):
+        row = [0.0] * TOKENS
+        for w in _TOKEN.findall(line):
+            langs = _OF.get(w.lower())
+            if langs is not None:
+                for k in langs:
+                    row[k] += 1 / len(langs)
+            elif w.isalpha() or "-" in w or "'" in w or "’" in w:
+                row[n if w.islower() else n + 2 if len(w) > 1 and w.isupper() else n + 1] += 1
+            elif w.isdigit():
+                row[n + 3] += 1
+            elif w[0].isalnum() or w[0] == "_":
+                row[n + 4] += 1
+            elif len(w) <= 3 and _PROSE_MARKS.issuperset(w):
+                row[n + 5] += 1
+            else:
+                row[n + 6] += min(len(w), 4)
+        if _MARK.match(line):
+            row[n + 7] += 2
+        own[:] = row
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    c = np.bincount(at * CHARS + _CLASS[np.minimum(points, 65535)], minlength=len(lines) * CHARS).reshape(-1, CHARS)
+    size = c[:, :7].sum(1)
+    c = c * _WEIGHT
+    return t / np.maximum(t.sum(1, keepdims=True), 1e-9), c / np.maximum(c.sum(1, keepdims=True), 1e-9), size
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence (bits) of ``p`` from each row of ``q``."""
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum(-1)
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
-    return (a + b) / 2
+    """Jensen-Shannon divergence (bits) of each row of ``p`` from each row of ``q``."""
+    return _entropy((p[:, None] + q[None]) / 2) - (_entropy(p)[:, None] + _entropy(q)[None]) / 2
 
 
 def profiles() -> tuple[np.ndarray, np.ndarray]:
     """Mean distributions of every profile's examples."""
-    each = [[described(x) for x in EXAMPLES[p]] for p in PROFILES]
-    return np.array([np.mean([t for t, _ in e], 0) for e in each]), np.array([np.mean([c for _, c in e], 0) for e in each])
+    each = [described(EXAMPLES[p]) for p in PROFILES]
+    return np.array([t.mean(0) for t, _, _ in each]), np.array([c.mean(0) for _, c, _ in each])
 
 
 class Classifier:
@@ -147,27 +149,24 @@ class Classifier:
     def __init__(self):
         self.tokens, self.chars = profiles()
 
-    def lines(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """(non-blank characters, profile, divergence) of each line that isn't blank."""
-        for line in text.split("\n"):
-            size = sum(map(len, line.split()))
-            if size:
-                t, c = described(line)
-                d = divergence(t, self.tokens) + divergence(c, self.chars)
-                k = int(d.argmin())
-                yield size, k, float(d[k])
+    def lines(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Non-blank characters, profile and divergence of each line that isn't blank."""
+        own = [x for x in text.split("\n") if x and not x.isspace()]
+        if not own:
+            return np.zeros(0), np.zeros(0, int), np.zeros(0)
+        t, c, size = described(own)
+        d = divergence(t, self.tokens) + divergence(c, self.chars)
+        return size, d.argmin(1), d.min(1)
 
     def text(self, text: str) -> tuple[str, float, float]:
         """Nearest profile by characters, share of characters outside prose, mean divergence."""
-        sizes, far = np.zeros(len(PROFILES)), 0.0
-        for size, k, d in self.lines(text):
-            sizes[k] += size
-            far += size * d
-        total = sizes.sum()
+        size, profile, far = self.lines(text)
+        total = size.sum()
         if not total:
             return "empty", 0.0, 0.0
-        prose = sum(sizes[k] for k, p in enumerate(PROFILES) if p.startswith("prose"))
-        return PROFILES[int(sizes.argmax())], float(1 - prose / total), float(far / total)
+        by = np.bincount(profile, size, len(PROFILES))
+        prose = sum(by[k] for k, p in enumerate(PROFILES) if p.startswith("prose"))
+        return PROFILES[int(by.argmax())], float(1 - prose / total), float((size * far).sum() / total)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

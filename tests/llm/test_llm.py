@@ -277,7 +277,7 @@ def test_quality_edges(spark):
 
 def test_divergence():
     p = np.array([0.5, 0.5, 0.0])
-    d = quality.divergence(p, np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]))
+    d = quality.divergence(p[None], np.array([[0.5, 0.5, 0.0], [0.0, 0.0, 1.0]]))[0]
     assert d[0] == pytest.approx(0) and d[1] == pytest.approx(1)
 
 
