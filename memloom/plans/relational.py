@@ -31,7 +31,7 @@ def get_entity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, realm, domain, created_at FROM ents WHERE realm = 'work' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20")
 def list_entities_page(spark: SparkSession, d: str) -> DataFrame:
-    return R.page(entities(spark, d), 20, 20, realm="work").select("id", "realm", "domain", "created_at")
+    return R.page(entities(spark, d, "realm = 'work'"), 20, 20).select("id", "realm", "domain", "created_at")
 
 
 @query(f"{WITH} SELECT r.name, r.description, count(e.id) AS entities FROM realms r LEFT JOIN ents e ON e.realm = r.name GROUP BY ALL")
@@ -87,7 +87,7 @@ def metadata_where_sql_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, domain FROM ents WHERE content ILIKE '%glossary of%'")
 def doc_contains(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where(R.contains(F.col("content"), "glossary of")).select("id", "domain")
+    return table(spark, d, "entities").where(R.contains(F.col("content"), "glossary of")).select("id", "domain").distinct()
 
 
 @query(f"SELECT DISTINCT id, text FROM docs WHERE {meta_sql('realm')} = 'work' AND text ILIKE '%ledger%' ORDER BY id LIMIT 25 OFFSET 5")
@@ -98,7 +98,7 @@ def vector_rows_where(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, realm, domain, content, source_file FROM ents WHERE realm = 'research' AND domain = 'daily'")
 def export_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where("realm = 'research' AND domain = 'daily'").select("id", "realm", "domain", "content", "source_file")
+    return entities(spark, d, "realm = 'research' AND domain = 'daily'").select("id", "realm", "domain", "content", "source_file")
 
 
 @query(f"{WITH} SELECT realm, domain, '# ' || realm || ' / ' || domain || chr(10) || chr(10) || string_agg('- ' || coalesce(source_file, 'unknown') || ' (' || n || ')', chr(10) ORDER BY coalesce(source_file, 'unknown')) AS markdown FROM (SELECT realm, domain, source_file, count(*) AS n FROM ents GROUP BY ALL) GROUP BY realm, domain")
@@ -165,7 +165,7 @@ def delete_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT realm, count(*) AS entities FROM ents WHERE realm <> 'archive' GROUP BY realm")
 def cascade_delete_realm(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where("realm <> 'archive'").groupBy("realm").agg(F.count(F.lit(1)).alias("entities"))
+    return entities(spark, d, "realm <> 'archive'").groupBy("realm").agg(F.count(F.lit(1)).alias("entities"))
 
 
 @query("SELECT name FROM realms UNION SELECT DISTINCT realm FROM documents WHERE realm IS NOT NULL")
@@ -215,7 +215,7 @@ def agent_top_realms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT substr(realm, 7) AS agent, count(*) AS records FROM ents WHERE realm LIKE 'agent\\_%' ESCAPE '\\' GROUP BY 1")
 def agents(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where(F.startswith("realm", F.lit("agent_"))).groupBy(F.substring("realm", 7, 1000).alias("agent")).agg(F.count(F.lit(1)).alias("records"))
+    return entities(spark, d, "startswith(realm, 'agent_')").groupBy(F.substring("realm", 7, 1000).alias("agent")).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query(f"{WITH} SELECT id, unnest(list_distinct(regexp_extract_all(content, 'ent_[0-9]+'))) AS ref FROM nods")

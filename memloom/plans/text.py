@@ -183,7 +183,7 @@ def _importance():
     SELECT id, domain, snippet FROM (SELECT *, sum(length(snippet)) OVER (ORDER BY domain, id) AS run FROM t) WHERE run <= 3200"""
 )
 def l1_essential(spark: SparkSession, d: str) -> DataFrame:
-    newest = entities(spark, d).where("realm = 'work'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(2000)
+    newest = entities(spark, d, "realm = 'work'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(2000)
     top = newest.select("id", "domain", F.substring("content", 1, 200).alias("snippet"), _importance().alias("importance")).orderBy(F.desc("importance"), "id").limit(15)
     run = F.sum(F.length("snippet")).over(Window.orderBy("domain", "id"))  # over fifteen rows
     return top.withColumn("run", run).where("run <= 3200").select("id", "domain", "snippet")
@@ -191,14 +191,14 @@ def l1_essential(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, domain, substr(content, 1, 300) AS snippet FROM ents WHERE realm = 'research' AND domain = 'reading' ORDER BY created_at DESC NULLS LAST, id LIMIT 10")
 def recall_l2(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d).where("realm = 'research' AND domain = 'reading'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(10)
+    e = entities(spark, d, "realm = 'research' AND domain = 'reading'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(10)
     return e.select("id", "domain", F.substring("content", 1, 300).alias("snippet"))
 
 
 @query(f"{WITH} SELECT domain, id FROM (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents WHERE realm LIKE 'agent%') WHERE k <= 5")
 def layer_last_n(spark: SparkSession, d: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("created_at").desc_nulls_last(), "id"))
-    return entities(spark, d).where(F.startswith("realm", F.lit("agent"))).withColumn("k", k).where("k <= 5").select("domain", "id")
+    return entities(spark, d, "startswith(realm, 'agent')").withColumn("k", k).where("k <= 5").select("domain", "id")
 
 
 @query(f"{WITH} SELECT realm, string_agg(substr(content, 1, 200), chr(10) ORDER BY k) AS summary FROM (SELECT realm, content, row_number() OVER (PARTITION BY realm ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents) WHERE k <= 10 GROUP BY realm")

@@ -14,8 +14,11 @@ def keep_one(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_one(table(spark, sf_dir, "entities"), "id", "metadata", "created_at")
+def entities(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """``where`` may use what doesn't differ between deliveries of an id (realm, domain, content, source_file): it is
+    applied first, so it reaches the scan."""
+    e = table(spark, sf_dir, "entities")
+    return keep_one(e if where is None else e.where(where), "id", "metadata", "created_at")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
