@@ -76,18 +76,20 @@ def changed_leaves(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
     return differing
 
 
-def with_neighbours(rows: DataFrame, keys: list[str], order: str, before: list[str], after: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
+def with_neighbours(rows: DataFrame, keys: list[str], order: str, before: list[str], after: list[str], key_rows: int | None = KEY_ROWS) -> DataFrame:
     """Adds ``prev_c`` for c in ``before`` and ``next_c`` for c in ``after``: the values of the rows before and
     after in the order of ``order`` (unique within a key) among the rows of one key; null at the ends.
 
     A key with more than ``key_rows`` rows is cut at quantiles of ``order`` into stretches that are windows of
     their own; the last and first rows of neighbouring stretches are handed over, so no task sorts a whole key.
+    ``key_rows`` None: the caller knows that no key is so large.
     """
-    heavy = written(rows.groupBy(*keys).count().where(F.col("count") > key_rows))
     w = Window.partitionBy(*keys).orderBy(order)
     near = lambda w: [F.lag(c).over(w).alias(f"prev_{c}") for c in before] + [F.lead(c).over(w).alias(f"next_{c}") for c in after]
-    if heavy.isEmpty():
+    heavy = None if key_rows is None else rows.groupBy(*keys).count().where(F.col("count") > key_rows)
+    if heavy is None or heavy.isEmpty():
         return rows.select("*", *near(w))
+    heavy = written(heavy)
     pieces = int(min(1000, heavy.agg(F.max("count")).first()[0] // key_rows + 1))
     cuts = rows.join(small(heavy.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 100 * pieces).alias("_cuts"))
     cut = rows.join(small(written(cuts)), keys, "left").withColumn("_seg", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
@@ -103,7 +105,7 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: str, before: list[s
     return both.select("*", *near(sw)).where(~F.col("_carried")).drop("_seg", "_carried")
 
 
-def versions(rows: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def versions(rows: DataFrame, key_rows: int | None = KEY_ROWS) -> DataFrame:
     """Versions (leaf, subject, predicate, object, starts, ends) of statements with unique (key, start).
 
     Going by start, a row continues the version before it if the object is the same and the end of the row
@@ -128,7 +130,7 @@ def latest_per_start(rows: DataFrame) -> DataFrame:
     return rows.groupBy("leaf", *KEYS, "start").agg(one).select("leaf", *KEYS, "start", "r.id", "r.object", "r.end")
 
 
-def apply_snapshot(history: DataFrame | None, old_tree: list[DataFrame] | None, snapshot: DataFrame, number: int, bits: int, key_rows: int = KEY_ROWS) -> tuple[DataFrame, list[DataFrame]]:
+def apply_snapshot(history: DataFrame | None, old_tree: list[DataFrame] | None, snapshot: DataFrame, number: int, bits: int, key_rows: int | None = KEY_ROWS) -> tuple[DataFrame, list[DataFrame]]:
     """Brings ``history`` up to ``snapshot``; returns the new history and the tree to compare with next time.
 
     ``history`` holds every version that any snapshot gave: ``seen`` is the number of the snapshot that added it,
@@ -160,6 +162,8 @@ def history_of(rows: DataFrame, periods: int = 3, key_rows: int = KEY_ROWS) -> D
     rows = written(rows.select("subject", "predicate", "object", "id", "start", "end", F.coalesce(F.unix_seconds(F.try_to_timestamp("arrived")), F.lit(0).cast("long")).alias("arrived")))
     n, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx("arrived", [i / periods for i in range(1, periods)] or [1.0])).first()
     bits = leaf_bits(n)
+    largest = rows.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+    key_rows = None if largest <= key_rows else key_rows  # snapshots and versions have no more rows
     rows = rows.withColumn("leaf", leaf_of(bits))
     history = digests = None
     for k, cut in enumerate([*sorted(set(cuts or [])), None], 1):
