@@ -12,14 +12,18 @@ from memloom.session import written
 ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
 
 
+def _key(c: Column, clock: str) -> Column:
+    return F.when(F.length(c) == 10, F.concat(c, F.lit(f"T{clock}.000000Z"))).when(F.length(c) == 20, F.concat(F.substring(c, 1, 19), F.lit(".000000Z"))).otherwise(c)
+
+
 def start_key(c: Column) -> Column:
-    """A date as its first second, so that dates and times compare as text."""
-    return F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).otherwise(c)
+    """A date as its first second and all times to the microsecond, so that they compare as text."""
+    return _key(c, "00:00:00")
 
 
 def end_key(c: Column) -> Column:
-    """A date as its last second."""
-    return F.when(F.length(c) == 10, F.concat(c, F.lit("T23:59:59Z"))).otherwise(c)
+    """The same with a date as its last second."""
+    return _key(c, "23:59:59")
 
 
 def iso_or_null(c: Column) -> Column:
@@ -27,9 +31,15 @@ def iso_or_null(c: Column) -> Column:
     return F.when(c.rlike(ISO) & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull(), c)
 
 
+def utc_or_null(norm: Column) -> Column:
+    """A time as ``timestamps.normalised`` gives it, whole seconds without fraction; null where it is unknown or has two
+    readings."""
+    return F.when(~norm.isin("none", "ambiguous"), F.regexp_replace(norm, r"\.000000Z$", "Z"))
+
+
 def as_of(t: str) -> Column:
     """Facts whose period (valid_from, valid_to; null is open) holds the time ``t``."""
-    at, to = (t + "T00:00:00Z", t + "T23:59:59Z") if len(t) == 10 else (t, t)
+    at, to = (t + "T00:00:00.000000Z", t + "T23:59:59.999999Z") if len(t) == 10 else 2 * (t[:19] + ".000000Z" if len(t) == 20 else t,)
     f, u = F.col("valid_from"), F.col("valid_to")
     return (f.isNull() | (start_key(f) <= F.lit(to))) & (u.isNull() | (end_key(u) >= F.lit(at)))
 
@@ -81,11 +91,11 @@ def resolved(aliases: DataFrame, most: int = 10) -> DataFrame:
 
 def upsert_triples(facts: DataFrame, new: DataFrame) -> DataFrame:
     """``facts`` with ``new`` (subject, predicate, object, valid_from, valid_to, confidence): an open fact on the same
-    triple takes over the new values, other triples are added. Of several new rows for a triple the greatest
+    triple takes over the new values, other triples are added. Of several new rows for a triple the latest
     (valid_from, valid_to) counts; rows that end before they begin are left out."""
     ok = new.where(F.col("valid_to").isNull() | F.col("valid_from").isNull() | (end_key(F.col("valid_to")) >= start_key(F.col("valid_from"))))
     keys = ["subject", "predicate", "object"]
-    last = ok.groupBy(*keys).agg(F.max(F.struct(F.coalesce("valid_from", F.lit("")).alias("f"), F.coalesce("valid_to", F.lit("")).alias("t"), "confidence")).alias("r"))
+    last = ok.groupBy(*keys).agg(F.max(F.struct(start_key(F.col("valid_from")).alias("fk"), end_key(F.col("valid_to")).alias("tk"), F.coalesce("valid_from", F.lit("")).alias("f"), F.coalesce("valid_to", F.lit("")).alias("t"), "confidence")).alias("r"))
     last = last.select(*keys, F.nullif("r.f", F.lit("")).alias("new_from"), F.nullif("r.t", F.lit("")).alias("new_to"), F.col("r.confidence").alias("new_confidence"))
     opened, closed = facts.where("valid_to IS NULL"), facts.where("valid_to IS NOT NULL")
     hit = F.col("new_confidence").isNotNull()
@@ -95,5 +105,5 @@ def upsert_triples(facts: DataFrame, new: DataFrame) -> DataFrame:
 
 def invalidate(facts: DataFrame, gone: Column, day: str) -> DataFrame:
     """Open facts that ``gone`` holds for end on ``day``, unless they begin later."""
-    hit = F.col("valid_to").isNull() & gone & (F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.lit(day + "T23:59:59Z")))
+    hit = F.col("valid_to").isNull() & gone & (F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.lit(day + "T23:59:59.999999Z")))
     return facts.withColumn("valid_to", F.when(hit, F.lit(day)).otherwise(F.col("valid_to")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import kg as K
+from memloom.operators.timestamps import adapters, normalised
 from memloom.session import table
 from memloom.sources.tables import WITH, facts
 
@@ -30,9 +31,24 @@ def even(c: str):
     return F.replace(F.replace(F.lower(c), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
 
 
-def graph(spark: SparkSession, d: str) -> DataFrame:
-    """Facts spelled evenly, with periods in the standard forms; other notations count as open."""
-    return facts(spark, d).select("id", even("subject").alias("subject"), F.replace(F.lower("predicate"), F.lit(" "), F.lit("_")).alias("predicate"), even("object").alias("object"), K.iso_or_null(F.col("valid_from")).alias("valid_from"), K.iso_or_null(F.col("valid_to")).alias("valid_to"), "confidence", "source_entity_id")
+def spelled(spark: SparkSession, d: str) -> DataFrame:
+    """Facts spelled evenly, with their periods as delivered."""
+    return facts(spark, d).select("id", even("subject").alias("subject"), F.replace(F.lower("predicate"), F.lit(" "), F.lit("_")).alias("predicate"), even("object").alias("object"), "valid_from", "valid_to", "confidence", "source_entity_id", "adapter_name")
+
+
+def timed(f: DataFrame, adapters: DataFrame) -> DataFrame:
+    """``f`` with valid_from and valid_to in the two standard forms, whatever their notation; null (open) where a value
+    is missing, names no time or has two readings. ``adapters``: adapter_name, tz, date_order."""
+    f = f.join(adapters, "adapter_name", "left")
+    for c in ("valid_from", "valid_to"):
+        f = normalised(f, c, "tz", "date_order").withColumn(c, K.utc_or_null(F.col("norm"))).drop("norm", "us", "is_date")
+    return f.drop("adapter_name", "tz", "date_order")
+
+
+def graph(spark: SparkSession, d: str, where: Column | str = "true") -> DataFrame:
+    """Facts spelled evenly with periods in the standard forms. ``where`` may use all but the period; it is applied
+    before the times are read."""
+    return timed(spelled(spark, d).where(where), adapters(spark, d))
 
 
 _E = "replace(replace(lower({0}), ' ', '_'), '''', '')"
@@ -49,17 +65,17 @@ def kg_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_G} SELECT id, predicate, direction, current FROM (SELECT *, 'outgoing' AS direction FROM g WHERE subject = '{HUB}' UNION ALL SELECT *, 'incoming' FROM g WHERE object = '{HUB}'), LATERAL (SELECT valid_to IS NULL AS current)")
 def kg_entity_both(spark: SparkSession, d: str) -> DataFrame:
-    return K.about(graph(spark, d), HUB).select("id", "predicate", "direction", "current")
+    return K.about(graph(spark, d, (F.col("subject") == HUB) | (F.col("object") == HUB)), HUB).select("id", "predicate", "direction", "current")
 
 
 @query(f"{_G} SELECT id, subject, object, valid_from FROM g WHERE predicate = 'owned_by' AND {_ASOF}")
 def kg_relationship(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d).where((F.col("predicate") == "owned_by") & K.as_of(T)).select("id", "subject", "object", "valid_from")
+    return graph(spark, d, F.col("predicate") == "owned_by").where(K.as_of(T)).select("id", "subject", "object", "valid_from")
 
 
 @query(f"{_G} SELECT id, predicate, object, valid_from FROM g WHERE subject = '{HUB}' ORDER BY valid_from NULLS LAST, id LIMIT 100")
 def kg_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d).where(F.col("subject") == HUB).orderBy(F.col("valid_from").asc_nulls_last(), "id").limit(100).select("id", "predicate", "object", "valid_from")
+    return graph(spark, d, F.col("subject") == HUB).orderBy(K.start_key(F.col("valid_from")).asc_nulls_last(), "id").limit(100).select("id", "predicate", "object", "valid_from")
 
 
 @query(f"{_G} SELECT count(*) AS total, count(DISTINCT subject) AS subjects, count(DISTINCT predicate) AS predicates, string_agg(DISTINCT predicate, ',' ORDER BY predicate) AS predicate_list, count(*) FILTER (valid_to IS NULL) AS current, count(valid_to) AS expired FROM g")
@@ -74,7 +90,7 @@ def kg_stats(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM h1 UNION ALL SELECT * FROM h2"""
 )
 def kg_related_2hop(spark: SparkSession, d: str) -> DataFrame:
-    return K.walk(graph(spark, d), HUB, 2)
+    return K.walk(spelled(spark, d), HUB, 2)
 
 
 @query(f"{_G} SELECT name, max(outgoing) AS outgoing, max(incoming) AS incoming, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM (SELECT subject AS name, count(*) AS outgoing, 0 AS incoming, min(valid_from) AS first_seen, max(valid_from) AS last_seen FROM g GROUP BY 1 UNION ALL SELECT object, 0, count(*), min(valid_from), max(valid_from) FROM g GROUP BY 1) WHERE name IS NOT NULL GROUP BY name")
@@ -82,7 +98,8 @@ def kg_entity_card(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     side = lambda c, o, i: g.select(F.col(c).alias("name"), F.lit(o).alias("o"), F.lit(i).alias("i"), "valid_from")
     both = side("subject", 1, 0).unionByName(side("object", 0, 1)).where("name IS NOT NULL")
-    return both.groupBy("name").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"), F.min("valid_from").alias("first_seen"), F.max("valid_from").alias("last_seen"))
+    seen = F.when(F.col("valid_from").isNotNull(), F.struct(K.start_key(F.col("valid_from")), "valid_from"))
+    return both.groupBy("name").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"), F.min(seen)["valid_from"].alias("first_seen"), F.max(seen)["valid_from"].alias("last_seen"))
 
 
 @query(f"{_G} SELECT DISTINCT s AS subject, predicate, o AS object, valid_from, valid_to FROM (SELECT *, CASE WHEN subject = 'low' THEN 'high' ELSE subject END AS s, CASE WHEN object = 'low' THEN 'high' ELSE object END AS o FROM g) WHERE NOT coalesce(s = 'high' AND o = 'high', false)")
@@ -111,7 +128,7 @@ _NEW = "nw AS (SELECT subject, predicate, object, f AS valid_from, t AS valid_to
     FROM (SELECT * FROM o WHERE valid_to IS NULL) o FULL JOIN nw USING (subject, predicate, object) UNION ALL SELECT subject, predicate, object, valid_from, valid_to, confidence, 'kept' FROM o WHERE valid_to IS NOT NULL"""
 )
 def kg_upsert_triples(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d).where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL").drop("source_entity_id")
+    g = graph(spark, d, "subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL").drop("source_entity_id")
     return K.upsert_triples(g.where("confidence < 0.9"), g.where("confidence >= 0.9").drop("id"))
 
 
@@ -149,5 +166,7 @@ def similar_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_G} SELECT subject, predicate, count(*) AS versions, max(valid_from) AS latest_from, arg_max(object, coalesce(valid_from, '') || lpad(id::VARCHAR, 20, '0')) AS latest_object FROM g WHERE predicate IN (SELECT predicate FROM predicates WHERE single_valued) GROUP BY ALL")
 def kg_latest(spark: SparkSession, d: str) -> DataFrame:
     single = table(spark, d, "predicates").where("single_valued").select("predicate")
-    at = F.concat(F.coalesce("valid_from", F.lit("")), F.lpad(F.col("id").cast("string"), 20, "0"))
-    return graph(spark, d).join(single, "predicate", "left_semi").groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("versions"), F.max("valid_from").alias("latest_from"), F.max_by("object", at).alias("latest_object"))
+    key = K.start_key(F.col("valid_from"))
+    known = F.when(F.col("valid_from").isNotNull(), F.struct(key, "valid_from"))
+    g = timed(spelled(spark, d).join(single, "predicate", "left_semi"), adapters(spark, d))
+    return g.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("versions"), F.max(known)["valid_from"].alias("latest_from"), F.max_by("object", F.struct(key, "id")).alias("latest_object"))
