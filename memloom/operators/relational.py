@@ -58,10 +58,10 @@ def valid_name(name: Column) -> Column:
 
 
 def page(df: DataFrame, limit: int, offset: int = 0, **equal: str) -> DataFrame:
-    """A page of a filtered scan, newest first; the filter reaches the parquet scan."""
+    """A page of a filtered scan, newest first by ``us`` (``timestamps.created``), unknown times last."""
     for k, v in equal.items():
         df = df.where(F.col(k) == v)
-    return df.orderBy(F.col("created_at").desc_nulls_last(), "id").offset(offset).limit(limit)
+    return df.orderBy(F.col("us").desc_nulls_last(), "id").offset(offset).limit(limit)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -159,6 +159,13 @@ def adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "adapters").groupBy("adapter_name").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
 
 
+def created(df: DataFrame, adapters: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the entities ``df`` with ``norm``, ``us`` and ``is_date`` of created_at; the adapter that added an entity
+    gives zone and order. ``adapters``: adapter_name, tz, date_order."""
+    rows = df.select(*columns, F.col("created_at").alias("at"), F.get_json_object("metadata", "$.added_by").alias("adapter_name")).join(adapters, "adapter_name", "left")
+    return normalised(rows, "at", "tz", "date_order").select(*columns, "norm", "us", "is_date")
+
+
 def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text time of facts and entities: (tbl, id, field, value, tz, date_order)."""
     f = table(spark, sf_dir, "facts")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import graph as G
+from memloom.operators.timestamps import adapters, created
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
@@ -24,14 +25,16 @@ def query(sql: str | None = None):
     return put
 
 
-def gated(spark: SparkSession, d: str) -> DataFrame:
-    """Entities with their adapter as gate and the day of creation where it is in standard form."""
-    day = F.when(F.col("created_at").rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring("created_at", 1, 10))
-    return entities(spark, d).select("id", "realm", "domain", "source_file", meta("added_by").alias("gate"), meta("topic").alias("topic"), day.alias("date"))
+def gated(spark: SparkSession, d: str, dates: bool = False) -> DataFrame:
+    """Entities with their adapter as gate and, with ``dates``, the UTC day of creation where it is known (else null)."""
+    e, day = entities(spark, d), F.lit(None).cast("string")
+    if dates:
+        e, day = created(e, adapters(spark, d), "id", "realm", "domain", "source_file", "metadata"), F.when(F.col("us").isNotNull(), F.substring("norm", 1, 10))
+    return e.select("id", "realm", "domain", "source_file", meta("added_by").alias("gate"), meta("topic").alias("topic"), day.alias("date"))
 
 
-def graph_of(spark: SparkSession, d: str) -> DataFrame:
-    return G.domain_nodes(gated(spark, d))
+def graph_of(spark: SparkSession, d: str, dates: bool = False) -> DataFrame:
+    return G.domain_nodes(gated(spark, d, dates))
 
 
 _GATED = f"{WITH}, gated AS (SELECT id, realm, domain, source_file, {meta_sql('added_by')} AS gate, {meta_sql('topic')} AS topic, CASE WHEN regexp_matches(created_at, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN substr(created_at, 1, 10) END AS date FROM ents)"
@@ -41,7 +44,7 @@ _EDGES = f"{_NODES}, e AS (SELECT domain, a AS realm_a, b AS realm_b, gate, n FR
 
 @query(f"{_NODES} SELECT domain, array_to_string(realms, ',') AS realms, array_to_string(gates, ',') AS gates, n, array_to_string(dates, ',') AS dates FROM n")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph_of(spark, d).select("domain", *(F.array_join(c, ",").alias(c) for c in ("realms", "gates")), "n", F.array_join("dates", ",").alias("dates"))
+    return graph_of(spark, d, dates=True).select("domain", *(F.array_join(c, ",").alias(c) for c in ("realms", "gates")), "n", F.array_join("dates", ",").alias("dates"))
 
 
 @query(f"{_EDGES} SELECT * FROM e")

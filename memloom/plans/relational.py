@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import relational as R
+from memloom.operators.timestamps import adapters, created
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
@@ -31,7 +32,7 @@ def get_entity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, realm, domain, created_at FROM ents WHERE realm = 'work' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20")
 def list_entities_page(spark: SparkSession, d: str) -> DataFrame:
-    return R.page(entities(spark, d, "realm = 'work'"), 20, 20).select("id", "realm", "domain", "created_at")
+    return R.page(created(entities(spark, d, "realm = 'work'"), adapters(spark, d), "id", "realm", "domain", "created_at"), 20, 20).select("id", "realm", "domain", "created_at")
 
 
 @query(f"{WITH} SELECT r.name, r.description, count(e.id) AS entities FROM realms r LEFT JOIN ents e ON e.realm = r.name GROUP BY ALL")
@@ -65,8 +66,8 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT (SELECT count(*) FROM ents) AS total, arg_max(id, created_at || id) AS latest_id, substr(arg_max(content, created_at || id), 1, 100) AS preview FROM ents WHERE created_at IS NOT NULL")
 def memories_filed_away(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d)
-    at = F.concat("created_at", "id")
+    e = created(entities(spark, d), adapters(spark, d), "id", "content")
+    at = F.struct("us", "id")  # unknown times are the least
     return e.agg(F.count(F.lit(1)).alias("total"), F.max_by("id", at).alias("latest_id"), F.substring(F.max_by("content", at), 1, 100).alias("preview"))
 
 

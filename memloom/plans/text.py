@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.functions.words import words
+from memloom.operators.timestamps import adapters, created
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql
 
@@ -170,6 +171,16 @@ def deterministic_ids(spark: SparkSession, d: str) -> DataFrame:
 
 # Memory layers
 
+
+def _created(spark: SparkSession, d: str, where: str | None, *columns: str) -> DataFrame:
+    return created(entities(spark, d, where), adapters(spark, d), *columns)
+
+
+def _newest():
+    """Newest first whatever the notation of created_at; unknown times last."""
+    return F.col("us").desc_nulls_last()
+
+
 _IMP = f"CASE {meta_sql('importance')} WHEN 'high' THEN 5 WHEN 'low' THEN 1 ELSE coalesce(TRY_CAST({meta_sql('importance')} AS DOUBLE), TRY_CAST({meta_sql('weight')} AS DOUBLE), 3) END"
 
 
@@ -183,7 +194,7 @@ def _importance():
     SELECT id, domain, snippet FROM (SELECT *, sum(length(snippet)) OVER (ORDER BY domain, id) AS run FROM t) WHERE run <= 3200"""
 )
 def l1_essential(spark: SparkSession, d: str) -> DataFrame:
-    newest = entities(spark, d, "realm = 'work'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(2000)
+    newest = _created(spark, d, "realm = 'work'", "id", "domain", "content", "metadata").orderBy(_newest(), "id").limit(2000)
     top = newest.select("id", "domain", F.substring("content", 1, 200).alias("snippet"), _importance().alias("importance")).orderBy(F.desc("importance"), "id").limit(15)
     run = F.sum(F.length("snippet")).over(Window.orderBy("domain", "id"))  # over fifteen rows
     return top.withColumn("run", run).where("run <= 3200").select("id", "domain", "snippet")
@@ -191,20 +202,20 @@ def l1_essential(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, domain, substr(content, 1, 300) AS snippet FROM ents WHERE realm = 'research' AND domain = 'reading' ORDER BY created_at DESC NULLS LAST, id LIMIT 10")
 def recall_l2(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d, "realm = 'research' AND domain = 'reading'").orderBy(F.col("created_at").desc_nulls_last(), "id").limit(10)
+    e = _created(spark, d, "realm = 'research' AND domain = 'reading'", "id", "domain", "content").orderBy(_newest(), "id").limit(10)
     return e.select("id", "domain", F.substring("content", 1, 300).alias("snippet"))
 
 
 @query(f"{WITH} SELECT domain, id FROM (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents WHERE realm LIKE 'agent%') WHERE k <= 5")
 def layer_last_n(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("created_at").desc_nulls_last(), "id"))
-    return entities(spark, d, "startswith(realm, 'agent')").withColumn("k", k).where("k <= 5").select("domain", "id")
+    k = F.row_number().over(Window.partitionBy("domain").orderBy(_newest(), "id"))
+    return _created(spark, d, "startswith(realm, 'agent')", "id", "domain").withColumn("k", k).where("k <= 5").select("domain", "id")
 
 
 @query(f"{WITH} SELECT realm, string_agg(substr(content, 1, 200), chr(10) ORDER BY k) AS summary FROM (SELECT realm, content, row_number() OVER (PARTITION BY realm ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents) WHERE k <= 10 GROUP BY realm")
 def layer_summary(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("realm").orderBy(F.col("created_at").desc_nulls_last(), "id"))
-    top = entities(spark, d).select("realm", F.substring("content", 1, 200).alias("c"), k.alias("k")).where("k <= 10 AND c IS NOT NULL")
+    k = F.row_number().over(Window.partitionBy("realm").orderBy(_newest(), "id"))
+    top = _created(spark, d, None, "id", "realm", "content").select("realm", F.substring("content", 1, 200).alias("c"), k.alias("k")).where("k <= 10 AND c IS NOT NULL")
     return top.groupBy("realm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda r: r["c"]), "\n").alias("summary"))
 
 
