@@ -107,3 +107,18 @@ def invalidate(facts: DataFrame, gone: Column, day: str) -> DataFrame:
     """Open facts that ``gone`` holds for end on ``day``, unless they begin later."""
     hit = F.col("valid_to").isNull() & gone & (F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.lit(day + "T23:59:59.999999Z")))
     return facts.withColumn("valid_to", F.when(hit, F.lit(day)).otherwise(F.col("valid_to")))
+
+
+def near_names(names: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct names at edit distance 1 or 2.
+
+    ``names``: name; null takes no part. Names meet where they are equal after up to two deletions on either side, which holds
+    for every pair within two edits; no other block is used. A name of n letters gives (n + 1)(n + 2) / 2 keys.
+    """
+    cut = lambda s, i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.length(s)))
+    n = F.length("a")
+    # Position n + 1 stands for no deletion.
+    keys = F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(F.sequence(i, n + 1), lambda j: F.xxhash64(F.when(i == j, cut(F.col("a"), j)).otherwise(cut(cut(F.col("a"), j), i))))))
+    k = written(names.select(F.col("name").alias("a")).where("a IS NOT NULL").distinct().select("a", F.explode(F.array_distinct(keys)).alias("k")))
+    pairs = k.join(k.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
+    return pairs.where(F.levenshtein("a", "b", 2).between(1, 2))

@@ -157,10 +157,8 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_G}, n AS (SELECT DISTINCT subject AS name FROM g WHERE predicate = 'stored_in') SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 8) = substr(b.name, 1, 8) AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) BETWEEN 1 AND 2")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    # Blocked by the first eight letters: pairs are compared inside a block only.
-    n = graph(spark, d).where("predicate = 'stored_in'").select(F.col("subject").alias("a")).distinct().withColumn("k", F.substring("a", 1, 8))
-    m = n.join(n.withColumnRenamed("a", "b"), "k").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
-    return m.where(F.levenshtein("a", "b", 2).between(1, 2)).select("a", "b")
+    f = spelled(spark, d)
+    return K.near_names(f.select(F.col("subject").alias("name")).unionByName(f.select(F.col("object").alias("name"))))
 
 
 @query(f"{_G} SELECT subject, predicate, count(*) AS versions, max(valid_from) AS latest_from, arg_max(object, coalesce(valid_from, '') || lpad(id::VARCHAR, 20, '0')) AS latest_object FROM g WHERE predicate IN (SELECT predicate FROM predicates WHERE single_valued) GROUP BY ALL")
