@@ -122,3 +122,32 @@ def near_names(names: DataFrame) -> DataFrame:
     k = written(names.select(F.col("name").alias("a")).where("a IS NOT NULL").distinct().select("a", F.explode(F.array_distinct(keys)).alias("k")))
     pairs = k.join(k.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
     return pairs.where(F.levenshtein("a", "b", 2).between(1, 2))
+
+
+#: Claims in texts, with the groups that hold subject, role and object.
+CLAIMS = (
+    (r"(?U)\b([A-Z][\w-]+)\s+is\s+([A-Z][\w-]+)'s\s+([a-z]{3,20})\b", (1, 3, 2)),
+    (r"(?U)\b([A-Z][\w-]+)'s\s+([a-z]{3,20})\s+is\s+([A-Z][\w-]+)\b", (3, 2, 1)),
+    (r"([\p{L}]+) (replaced|contradicts|follows|covers) the ([a-z]+ [a-z]+)", (1, 2, 3)),
+)
+
+
+def claims_of(texts: DataFrame) -> DataFrame:
+    """(id, subject, claimed, object) of the claims "A is B's role", "B's role is A" and "A <verb> the B" in ``texts`` (id,
+    content); ``claimed`` is the role or verb in lower case, names are as written."""
+    found = [F.arrays_zip(*(F.regexp_extract_all("content", F.lit(p), F.lit(g)).alias(k) for k, g in zip(("subject", "claimed", "object"), groups, strict=True))) for p, groups in CLAIMS]
+    return texts.where("content IS NOT NULL").select("id", F.explode(F.concat(*found)).alias("c")).select("id", "c.subject", F.lower("c.claimed").alias("claimed"), "c.object")
+
+
+def contradicted(claims: DataFrame, facts: DataFrame, day: str) -> DataFrame:
+    """(id, subject, object, claimed, held, valid_to, problem) of the claims that facts of the same subject and object speak
+    against: ``relationship_mismatch`` for each other predicate that holds on ``day``, ``stale_fact`` for the claimed one if a
+    period of it ended before (valid_to: the last such end)."""
+    end = F.col("valid_to")
+    over = F.coalesce(end_key(end) < F.lit(day + "T00:00:00.000000Z"), F.lit(False))
+    # A row for each predicate of a pair, however many facts there are.
+    held = facts.where("predicate IS NOT NULL").groupBy("subject", "object", F.col("predicate").alias("held")).agg(F.bool_or(~over).alias("current"), F.max(F.when(over, F.struct(end_key(end), "valid_to")))["valid_to"].alias("ended"))
+    m = claims.join(held, ["subject", "object"])
+    same = F.col("held") == F.col("claimed")
+    problem = F.when(same & F.col("ended").isNotNull(), "stale_fact").when(~same & F.col("current"), "relationship_mismatch")
+    return m.select("id", "subject", "object", "claimed", "held", F.when(same, F.col("ended")).alias("valid_to"), problem.alias("problem")).where("problem IS NOT NULL")

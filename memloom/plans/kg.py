@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from memloom.operators import kg as K
 from memloom.operators.timestamps import adapters, normalised
-from memloom.session import table
-from memloom.sources.tables import WITH, facts
+from memloom.session import table, written
+from memloom.sources.tables import WITH, entities, facts
 
 QUERIES, SQL = {}, {}
 HUB = "shared_memory_hub"
@@ -140,11 +140,9 @@ def kg_invalidate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_G} SELECT g.id, g.object AS claimed, h.object AS held, CASE WHEN g.object = h.object THEN 'stale_fact' ELSE 'relationship_mismatch' END AS problem FROM g JOIN g h ON h.subject = g.subject AND h.predicate = g.predicate AND h.id > g.id WHERE g.predicate = 'located_in' AND h.valid_to IS NOT NULL AND g.valid_to IS NULL AND g.subject <> '{HUB}'")
 def claim_check(spark: SparkSession, d: str) -> DataFrame:
-    g = graph(spark, d).where((F.col("predicate") == "located_in") & (F.col("subject") != HUB))
-    a = g.where("valid_to IS NULL").select("id", "subject", F.col("object").alias("claimed"))
-    h = g.where("valid_to IS NOT NULL").select(F.col("id").alias("other"), "subject", F.col("object").alias("held"))
-    m = a.join(h, "subject").where("other > id")
-    return m.select("id", "claimed", "held", F.when(F.col("claimed") == F.col("held"), "stale_fact").otherwise("relationship_mismatch").alias("problem"))
+    c = written(K.claims_of(entities(spark, d).select("id", "content")).withColumns({k: even(k) for k in ("subject", "object")}).distinct())
+    f = spelled(spark, d).join(c.select("subject", "object").distinct(), ["subject", "object"], "left_semi")
+    return K.contradicted(c, timed(f, adapters(spark, d)), T)
 
 
 @query(f"""{_G} SELECT DISTINCT lower(m[1]) AS a, lower(m[2]) AS b FROM (SELECT unnest(regexp_extract_all(content, '[\\p{{L}}]+ (?:replaced|contradicts|follows|covers) the [a-z]+ [a-z]+')) AS s FROM ents), LATERAL (SELECT regexp_extract(s, '([\\p{{L}}]+) (replaced|contradicts|follows|covers) the ([a-z]+ [a-z]+)', ['a0', 'r0', 'b0']) AS x), LATERAL (SELECT [x.a0, x.b0] AS m)""")
