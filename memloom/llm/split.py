@@ -23,12 +23,13 @@ BOUNDARIES = tuple(map(re.compile, (r"\n[ \t]*\n\s*", r"\n", r"[.!?…][\"'”
 
 def cut_at(text: str, lo: int, hi: int) -> int:
     """Where to cut ``text[lo:hi]``: behind the strongest kind of boundary in its middle half, nearest to the middle
-    (ties: the earlier); in its exact middle where there is none."""
+    (ties: the earlier); if that has none, the same in the whole span; in the exact middle only where there is none at all."""
     mid, reach = (lo + hi) // 2, max(1, (hi - lo) // 4)
-    for kind in BOUNDARIES:
-        ends = [m.end() for m in kind.finditer(text, max(lo, mid - reach), min(hi, mid + reach)) if lo < m.end() < hi]
-        if ends:
-            return min(ends, key=lambda e: (abs(e - mid), e))
+    for first, last in ((max(lo, mid - reach), min(hi, mid + reach)), (lo, hi)):
+        for kind in BOUNDARIES:
+            ends = [m.end() for m in kind.finditer(text, first, last) if lo < m.end() < hi]
+            if ends:
+                return min(ends, key=lambda e: (abs(e - mid), e))
     return mid
 
 
