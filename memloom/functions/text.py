@@ -51,7 +51,7 @@ def first_best(scores: dict[str, Column], none: str) -> Column:
 
 
 def topic(text: Column) -> Column:
-    return first_best({k: hits(F.substring(text, 1, 3000), w) for k, w in TOPICS.items()}, "general")
+    return first_best({k: hits(text, w) for k, w in TOPICS.items()}, "general")
 
 
 def memory_type(text: Column) -> tuple[Column, Column]:
@@ -88,12 +88,34 @@ def numbered(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.transform(lines, lambda x, i: F.concat((i + first).cast("string"), F.lit(": "), x)), "\n")
 
 
-def without_noise(text: Column) -> Column:
-    """Without markup blocks, status lines and runs of blank lines."""
-    t = F.regexp_replace(text, r"(?s)<(system|tool|hook)[^>]*>.*?</\1>", "")
-    t = F.regexp_replace(t, r"(?m)^(?:\[hook\]|\[copy\]|Exported by the|>>> ).*$", "")
-    t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+_TAGS = ("system-reminder", "command-message", "command-name", "task-notification", "user-prompt-submit-hook", "hook_output")
+_PREFIXES = (
+    "CURRENT TIME:", "VERIFIED FACTS (do not contradict)", "AGENT SPECIALIZATION:", "Checking verified facts...", "Injecting timestamp...",
+    "Starting background pipeline...", "Checking emotional weights...", "Auto-save reminder...", "Checking pipeline...", "Alt Memory auto-save checkpoint.",
+)
+_HOOKS = "Stop|PreCompact|PreToolUse|PostToolUse|UserPromptSubmit|Notification|SessionStart|SessionEnd"
+#: Blocks that begin a line and hold no blank line, status lines, collapsed output, token marks; last the status lines of these tables.
+NOISE = (
+    *(re.compile(rf"(?m)^(?:> )?<{t}(?:\s[^>]*)?>(?:(?!\n\s*\n)[\s\S])*?</{t}>[ \t]*\n?") for t in _TAGS),
+    *(re.compile(rf"(?m)^(?:> )?{re.escape(p)}.*\n?") for p in _PREFIXES),
+    re.compile(rf"(?m)^(?:> )?Ran \d+ (?:{_HOOKS}) hook[s]?.*\n?"),
+    re.compile(r"(?m)^(?:> )?…\s*\+\d+ lines.*\n?"),
+    re.compile(r"\s*\[\d+\s+tokens?\]\s*\(ctrl\+o to expand\)"),
+    re.compile(r"(?m)^(?:\[hook\]|\[copy\]|Exported by the|>>> ).*$"),
+)
+
+
+def stripped(text: str) -> str:
+    """Without noise and runs of blank lines."""
+    for p in NOISE:
+        text = p.sub("", text)
+    return re.sub(r"\n{4,}", "\n\n\n", text).strip()
+
+
+@F.pandas_udf(StringType())
+def without_noise(texts: pd.Series) -> pd.Series:
+    """Texts without noise; null stays null."""
+    return texts.map(lambda t: stripped(t) if t else t)
 
 
 def md_entries(text: Column) -> Column:

@@ -61,8 +61,7 @@ def md_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?m)^(?:\\[hook\\]|\\[copy\\]|Exported by the|>>> ).*$', '', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS content FROM ents WHERE NOT regexp_matches(content, '<(system|tool|hook)')")
 def strip_noise(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d).where(~F.col("content").rlike("<(system|tool|hook)"))
-    return e.select("id", T.without_noise(F.col("content")).alias("content"))
+    return entities(spark, d).where("content IS NOT NULL").select("id", T.without_noise(F.col("content")).alias("content"))
 
 
 def _hits(col: str, ws: list[str]) -> str:
