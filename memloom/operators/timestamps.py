@@ -29,6 +29,13 @@ NOTATION = r"^(?:[A-Za-z]{3,9},?\s+)?" + _DATE + _TIME + _ZONE + "$"
 #: Fields in the order in which PARTS has them.
 PARTS = ("y", "m", "d", "name", "a", "b", "by", "h", "mi", "s", "frac", "half", "off", "zone")
 _TO = "\x02|$1$5$14$17|$3$6|$4$7$12$16|$13$15|$8|$10|$11|$18|$19|$20|$21|$22|$23|$24$25"
+#: Abbreviated zones as the offsets they stand for at any time of the year, in minutes (fixed values). Of those with several
+#: meanings EST to PDT are the North American ones, IST is India's and BST Britain's.
+ABBREVIATIONS = {
+    "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MET": 60, "MEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
+    "IST": 330, "HKT": 480, "AWST": 480, "JST": 540, "KST": 540, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
+    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
+}
 MONTHS = "jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?"
 
 
@@ -36,14 +43,15 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def parsed(df: DataFrame, value: str, order: str) -> DataFrame:
+def parsed(df: DataFrame, value: str, order: str, at: str = "") -> DataFrame:
     """Adds ``_day`` (days since 1970), ``_sec`` (seconds of the day, null for a pure date), ``_us``, ``_off``
-    (offset in seconds, null if the value has none), ``_zone`` (null if the value names none), ``_abs``
+    (offset in seconds, of an abbreviated zone too, null if the value has none), ``_zone`` (null if the value names none), ``_abs``
     (microseconds since 1970 where the value is a number); all null if the value isn't a time.
 
     ``order`` names the column with YMD, DMY or MDY for all-number dates that don't begin with the year; under
-    YMD (or null) such a date can't be read and counts as no time.
+    YMD (or null) such a date can't be read and counts as no time. ``at`` is put behind the names of the new columns.
     """
+    keep = df.columns
     t = F.trim(F.regexp_replace(F.col(value), r"[\s ]+", " "))
     df = df.withColumn("_t", t).withColumn("_p", F.split(F.regexp_replace("_t", NOTATION, _TO), r"\|"))
     hit = F.startswith("_t", F.lit("\x02")) | (F.size("_p") != len(PARTS) + 1)
@@ -74,7 +82,8 @@ def parsed(df: DataFrame, value: str, order: str) -> DataFrame:
     sign = F.when(F.col("_off").contains("-"), -1).otherwise(1)
     digits = F.regexp_replace("_off", r"[^0-9]", "")
     part = lambda k: F.coalesce(_int(F.substring(digits, k, 2)), F.lit(0))
-    off = F.when(F.col("_off") == "", None).when(digits == "", 0).when((part(1) <= 18) & (part(3) < 60), sign * (part(1) * 3600 + part(3) * 60 + part(5))).otherwise(99999)
+    named = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v * 60}" for k, v in ABBREVIATIONS.items()) + ")"), F.col("_zone"))
+    off = F.when(F.col("_off") == "", named).when(digits == "", 0).when((part(1) <= 18) & (part(3) < 60), sign * (part(1) * 3600 + part(3) * 60 + part(5))).otherwise(99999)
     ok = F.coalesce(good & (~has_time | good_time) & (has_time | (F.col("_off") == "") & (F.col("_zone") == "")) & F.coalesce(off != 99999, F.lit(True)), F.lit(False))
     number = F.col("_t").rlike(r"^(\d{10}(\.\d+)?|\d{13}|\d{16})$")
     whole, tail = F.regexp_extract("_t", r"^(\d+)", 1), F.regexp_extract("_t", r"\.(\d+)$", 1)
@@ -88,8 +97,7 @@ def parsed(df: DataFrame, value: str, order: str) -> DataFrame:
         "_abs": epoch,
         "_year": F.when(ok, y),
     }
-    keep = [c for c in df.columns if not c.startswith("_")]
-    return df.select(*keep, *(c.alias(k) for k, c in out.items()))
+    return df.select(*keep, *(c.alias(k + at) for k, c in out.items()))
 
 
 def offset_intervals(pairs: DataFrame) -> DataFrame:
@@ -116,34 +124,50 @@ def normalised(df: DataFrame, value: str, zone: str, order: str) -> DataFrame:
     ``norm`` is ``2024-05-06T07:08:09.123456Z``, ``2024-05-06`` for a pure date (no zone applied), ``ambiguous``,
     ``none``, or null for a null value. ``us`` is the time in microseconds since 1970 (a date's midnight), null
     unless the time is known. ``zone`` and ``order`` name columns with the zone and the order of all-number dates
-    for values that carry none; nulls there mean UTC and YMD. An unknown zone name makes a value ``none``.
-    Empty text is ``none``. Columns of ``df`` must not begin with ``_``.
+    for values that carry none; nulls there mean UTC and YMD. An abbreviated zone is a fixed offset
+    (``ABBREVIATIONS``), any other unknown zone name makes a value ``none``. Empty text is ``none``. Columns of
+    ``df`` must not begin with ``_``.
     """
+    out = normalised_all(df, [value], zone, order)
+    return out.withColumnsRenamed({f"{value}_{k}": k for k in ("norm", "us", "is_date")})
+
+
+def _holding(at: Column):
+    """Whether an interval holds ``at``."""
+    return lambda s: (s["lo"] <= at) & (at < s["hi"])
+
+
+def normalised_all(df: DataFrame, values: list[str], zone: str, order: str) -> DataFrame:
+    """The same for several columns in one pass: adds ``v_norm``, ``v_us`` and ``v_is_date`` for each v of ``values``."""
     spark = df.sparkSession
-    known = [str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds()]
-    p = parsed(df, value, order)
-    local = F.col("_sec").isNotNull() & F.col("_off").isNull()
-    zone_of = F.coalesce(F.col("_zone"), F.col(zone), F.lit("UTC"))
-    p = p.withColumn("_z", F.when(local, zone_of)).withColumn("_local", F.when(local, F.col("_day").cast("long") * 86400 + F.col("_sec")))
+    known = ", ".join(f"'{z.strip()}'" for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds().toString()[1:-1].split(","))
+    p = df
+    for i, value in enumerate(values):
+        p = parsed(p, value, order, f"_v{i}")
+        local = F.col(f"_sec_v{i}").isNotNull() & F.col(f"_off_v{i}").isNull()
+        zone_of = F.coalesce(F.col(f"_zone_v{i}"), F.col(zone), F.lit("UTC"))
+        p = p.withColumns({f"_z_v{i}": F.when(local, zone_of), f"_local_v{i}": F.when(local, F.col(f"_day_v{i}").cast("long") * 86400 + F.col(f"_sec_v{i}"))})
     p = written(p)  # read twice below: each value is parsed once
-    pairs = p.where("_z IS NOT NULL").select(F.col("_z").alias("zone"), F.col("_year").alias("year")).distinct().where(F.col("zone").isin(known))
-    spans = small(written(offset_intervals(pairs))).select(F.col("zone").alias("_jz"), F.col("year").alias("_jy"), F.col("spans").alias("_spans"))
-    p = p.join(spans, (F.col("_z") == F.col("_jz")) & (F.col("_year") == F.col("_jy")), "left")
-    p = p.withColumn("_m", F.filter("_spans", lambda s: (s["lo"] <= F.col("_local")) & (F.col("_local") < s["hi"])))
-    n = F.when(F.col("_z").isNotNull(), F.greatest(F.coalesce(F.size("_m"), F.lit(0)), F.lit(0)))
-    off = F.coalesce(F.col("_off").cast("long"), F.when(n == 1, F.col("_m")[0]["off"]))
-    second = F.col("_day").cast("long") * 86400 + F.coalesce(F.col("_sec"), F.lit(0))
-    is_date = F.col("_day").isNotNull() & F.col("_sec").isNull()
-    us = F.coalesce(F.col("_abs"), F.when(is_date, second * 1000000), (second - off) * 1000000 + F.col("_us"))
-    p = p.withColumn("_u", us).withColumn("_n", n)
-    day = F.date_from_unix_date(F.floor(F.col("_u") / F.lit(86400000000)).cast("int")).cast("string")
-    rest = F.pmod("_u", F.lit(86400000000))
-    two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
-    clock = F.concat(F.lit("T"), two(F.floor(rest / 3600000000)), F.lit(":"), two(F.floor(rest / 60000000) % 60), F.lit(":"), two(F.floor(rest / 1000000) % 60), F.lit("."), F.lpad((rest % 1000000).cast("string"), 6, "0"), F.lit("Z"))
-    norm = F.when(F.col(value).isNull(), None).when(F.col("_n") > 1, "ambiguous").when(F.col("_u").isNull(), "none").when(is_date, day).otherwise(F.concat(day, clock))
-    known_time = F.col("_u").isNotNull()
-    keep = [c for c in df.columns]
-    return p.select(*keep, norm.alias("norm"), F.when(known_time, F.col("_u")).alias("us"), F.when(known_time, is_date).alias("is_date"))
+    each = F.explode(F.array(*(F.struct(F.col(f"_z_v{i}").alias("zone"), F.col(f"_year_v{i}").alias("year")) for i in range(len(values)))))
+    pairs = p.select(each.alias("p")).select("p.*").where(f"zone IN ({known})").distinct()
+    spans = small(written(offset_intervals(pairs)))
+    for i, value in enumerate(values):
+        own = spans.select(F.col("zone").alias("_jz"), F.col("year").alias("_jy"), F.col("spans").alias("_spans"))
+        p = p.join(own, (F.col(f"_z_v{i}") == F.col("_jz")) & (F.col(f"_year_v{i}") == F.col("_jy")), "left")
+        at = F.col(f"_local_v{i}")
+        p = p.withColumn("_m", F.filter("_spans", _holding(at)))
+        n = F.when(F.col(f"_z_v{i}").isNotNull(), F.greatest(F.coalesce(F.size("_m"), F.lit(0)), F.lit(0)))
+        off = F.coalesce(F.col(f"_off_v{i}").cast("long"), F.when(n == 1, F.col("_m")[0]["off"]))
+        second = F.col(f"_day_v{i}").cast("long") * 86400 + F.coalesce(F.col(f"_sec_v{i}"), F.lit(0))
+        is_date = F.col(f"_day_v{i}").isNotNull() & F.col(f"_sec_v{i}").isNull()
+        us = F.coalesce(F.col(f"_abs_v{i}"), F.when(is_date, second * 1000000), (second - off) * 1000000 + F.col(f"_us_v{i}"))
+        p = p.withColumns({"_u": us, "_n": n})
+        text = F.when(is_date, F.substring(us_text(F.col("_u")), 1, 10)).otherwise(us_text(F.col("_u")))
+        norm = F.when(F.col(value).isNull(), None).when(F.col("_n") > 1, "ambiguous").when(F.col("_u").isNull(), "none").otherwise(text)
+        known_time = F.col("_u").isNotNull()
+        p = p.withColumns({f"{value}_norm": norm, f"{value}_us": F.when(known_time, F.col("_u")), f"{value}_is_date": F.when(known_time, is_date)})
+        p = p.drop("_jz", "_jy", "_spans", "_m", "_u", "_n")
+    return p.select(*df.columns, *(f"{v}_{k}" for v in values for k in ("norm", "us", "is_date")))
 
 
 def us_text(us: Column) -> Column:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 
-from memloom.operators.timestamps import normalised
+from memloom.operators.timestamps import ABBREVIATIONS, normalised
 
 CASES = [
     ("2024-05-06T07:08:09Z", None, None, "2024-05-06T07:08:09.000000Z"),
@@ -53,6 +55,13 @@ def test_notations(spark):
     assert [(c[0], got[i]) for i, c in enumerate(CASES)] == [(c[0], c[3]) for c in CASES]
 
 
+def test_abbreviations_are_fixed_offsets(spark):
+    """In summer and in winter alike, whatever the adapter's zone; an offset written beside one counts."""
+    cases = [(f"2024-{m:02d}-15 {t}", "Asia/Tokyo", None, (datetime(2024, m, 15, 12) - timedelta(minutes=off)).strftime("%Y-%m-%dT%H:%M:%S.000000Z")) for m in (1, 7) for name, off0 in ABBREVIATIONS.items() for t, off in ((f"12:00:00 {name}", off0), (f"12:00 PM {name}", off0), (f"12:00:00+02:00 {name}", 120))]
+    df = spark.createDataFrame(cases, "value string, tz string, date_order string, want string")
+    assert [tuple(r) for r in normalised(df, "value", "tz", "date_order").where("NOT (norm <=> want)").select("value", "norm", "want").collect()] == []
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "value string, tz string, date_order string, zone string, y int")
     out = normalised(df, "value", "tz", "date_order")
