@@ -14,30 +14,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.operators.timestamps import adapters, normalised, us_text
+from memloom.operators.timestamps import adapters, normalised_all, us_text
 from memloom.session import small, table, written
 
 KEYS = ["subject", "predicate"]
 #: log2 of the children of a node.
-FAN_BITS = 4
+FAN_BITS = 8
+#: Rows that a leaf holds on average: few, so that a leaf seldom changes for another key's sake.
+LEAF_ROWS = 2
 #: Rows of one key that a single window may hold; larger keys are cut into stretches of time.
 KEY_ROWS = 100_000
 SECOND = 1_000_000
 
 
 def leaf_bits(rows: int) -> int:
-    """Bits of the leaf number: about eight rows a leaf, in whole levels."""
-    return max(FAN_BITS, -(-max(1, (rows // 8)).bit_length() // FAN_BITS) * FAN_BITS)
+    """Bits of the leaf number: about LEAF_ROWS rows a leaf."""
+    return max(FAN_BITS, (rows // LEAF_ROWS).bit_length())
 
 
 def _halves(h: Column) -> list[Column]:
-    """A hash as two numbers whose sums can't overflow for two thousand million rows."""
+    """A hash as two numbers of 32 bits."""
     return [h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)]
 
 
 def _sums(h: Column) -> list[Column]:
+    # As decimals the sums of halves can't overflow, however many rows a leaf has; what counts is their remainder.
+    whole = lambda c: F.pmod(F.sum(c.cast("decimal(20,0)")), F.lit(2**61 - 1)).cast("long")
     lo, hi = _halves(h)
-    return [F.sum(lo).alias("lo"), F.sum(hi).alias("hi"), F.count(F.lit(1)).alias("n")]
+    return [whole(lo).alias("lo"), whole(hi).alias("hi"), F.count(F.lit(1)).alias("n")]
 
 
 def leaf_of(bits: int) -> Column:
@@ -56,24 +60,31 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(snapshot: DataFrame, bits: int) -> list[DataFrame]:
-    """Digests of a snapshot by level, leaves first, root last; each level is written once."""
+    """Digests of a snapshot by level, leaves first, root last. The leaves are written; the levels above, each smaller by
+    the factor 2^FAN_BITS, are sums over them."""
     levels = [written(leaves(snapshot))]
-    for _ in range(bits // FAN_BITS):
-        levels.append(written(parents(levels[-1])))
+    for _ in range(-(-bits // FAN_BITS)):
+        levels.append(parents(levels[-1]))
     return levels
 
 
-def changed_leaves(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
-    """Leaf numbers whose buckets differ, found by descending from the root into differing nodes only."""
-    differing = None
+def descended(old: list[DataFrame], new: list[DataFrame]) -> list[DataFrame]:
+    """The nodes (leaf) of each level, root first, that differ and whose parents differ: the way from the root down to
+    the changed leaves. Only children of differing nodes are compared."""
+    out: list[DataFrame] = []
     for a, b in reversed(list(zip(old, new, strict=True))):
-        if differing is not None:
-            near = small(differing.select(F.col("leaf").alias("up")))
-            a, b = (x.join(near, F.shiftrightunsigned("leaf", FAN_BITS) == F.col("up"), "left_semi") for x in (a, b))
+        if out:
+            up = out[-1].select(F.col("leaf").alias("up"))
+            a, b = (x.join(up, F.shiftrightunsigned("leaf", FAN_BITS) == F.col("up"), "left_semi") for x in (a, b))
         a = a.select("leaf", F.struct("lo", "hi", "n").alias("a"))
         b = b.select("leaf", F.struct("lo", "hi", "n").alias("b"))
-        differing = written(a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf"))
-    return differing
+        out.append(a.join(b, "leaf", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf"))
+    return out
+
+
+def changed_leaves(old: list[DataFrame], new: list[DataFrame]) -> DataFrame:
+    """Leaf numbers whose buckets differ, found by descending from the root into differing nodes only."""
+    return written(descended(old, new)[-1])
 
 
 def with_neighbours(rows: DataFrame, keys: list[str], order: str, before: list[str], after: list[str], key_rows: int | None = KEY_ROWS) -> DataFrame:
@@ -90,8 +101,8 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: str, before: list[s
     if heavy is None or heavy.isEmpty():
         return rows.select("*", *near(w))
     heavy = written(heavy)
-    pieces = int(min(1000, heavy.agg(F.max("count")).first()[0] // key_rows + 1))
-    cuts = rows.join(small(heavy.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 100 * pieces).alias("_cuts"))
+    pieces = int(heavy.agg(F.max("count")).first()[0] // key_rows + 1)
+    cuts = rows.join(small(heavy.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], min(2**31 - 1, 100 * pieces)).alias("_cuts"))
     cut = rows.join(small(written(cuts)), keys, "left").withColumn("_seg", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
     cut = written(cut.withColumn("_seg", F.when(F.col("_seg") < 0, 0).otherwise(F.col("_seg"))))
     cols = list(dict.fromkeys([*keys, order, *before, *after]))
@@ -182,9 +193,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = adapters(spark, sf_dir)
     f = f.join(a, "adapter_name", "left")
     base = f.select("id", even("subject").alias("subject"), predicate.alias("predicate"), even("object").alias("object"), "valid_from", "valid_to", "created_at", "tz", "date_order")
-    n = normalised(base, "valid_from", "tz", "date_order").where("us IS NOT NULL").withColumnsRenamed({"us": "start"}).drop("norm", "is_date")
-    n = normalised(n, "valid_to", "tz", "date_order")
-    end = F.when(F.col("is_date"), F.col("us") + (86_400 - 1) * SECOND).otherwise(F.col("us"))
+    n = normalised_all(base, ["valid_from", "valid_to"], "tz", "date_order").where("valid_from_us IS NOT NULL").withColumnRenamed("valid_from_us", "start")
+    end = F.when(F.col("valid_to_is_date"), F.col("valid_to_us") + (86_400 - 1) * SECOND).otherwise(F.col("valid_to_us"))
     n = n.select("subject", "predicate", "object", "id", "start", end.alias("end"), F.col("created_at").alias("arrived"))
     return n.where(F.col("end").isNull() | (F.col("end") >= F.col("start")))
 

@@ -75,6 +75,22 @@ def test_only_changed_leaves(spark):
     assert changed == {r["leaf"] for r in old.where("subject = 's7'").select("leaf").distinct().collect()}
 
 
+def test_descent_visits_few_nodes(spark):
+    """Of snapshots most of whose leaves are equal, only the ways to the changed leaves are compared, and only those leaves
+    are derived again."""
+    rows = [(f"s{k}", "p", "a", k, 0, None, None) for k in range(3000)]
+    bits = H.leaf_bits(len(rows))
+    old = spark.createDataFrame(rows, SCHEMA).withColumn("leaf", H.leaf_of(bits))
+    new = old.withColumn("object", F.when(F.col("subject").isin("s7", "s70"), "z").otherwise(F.col("object")))
+    trees = H.tree(old, bits), H.tree(new, bits)
+    total = [level.count() for level in reversed(trees[0])]
+    visited = [level.count() for level in H.descended(*trees)]
+    assert total[0] == 1 and total[-1] > 500
+    assert visited[0] == 1 and max(visited) == 2
+    derived = new.join(H.changed_leaves(*trees), "leaf", "left_semi").select("subject").distinct().count()
+    assert 2 <= derived <= 30
+
+
 def test_nulls_and_empty(spark):
     rows = [(None, "p", "a", 1, 0, None, None), ("s", None, "a", 2, 0, None, None), ("s", "p", None, 3, 0, None, None), ("s", "p", "a", 4, None, None, None), ("s", "p", "a", 5, 0, None, None)]
     assert current(H.history_of(spark.createDataFrame(rows, SCHEMA))) == {("s", "p", "a", 0, None)}
