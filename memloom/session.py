@@ -38,20 +38,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder in local mode (tests);
+    on a cluster, whose executors don't share such a folder, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-memloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, and the rows
-    survive the loss of any executor."""
+    survive the loss of any executor. What an application wrote is deleted when it ends."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/memloom/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/memloom/{spark.sparkContext.applicationId}"
+    if root not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
