@@ -94,28 +94,24 @@ _PREFIXES = (
     "Starting background pipeline...", "Checking emotional weights...", "Auto-save reminder...", "Checking pipeline...", "Alt Memory auto-save checkpoint.",
 )
 _HOOKS = "Stop|PreCompact|PreToolUse|PostToolUse|UserPromptSubmit|Notification|SessionStart|SessionEnd"
-#: Blocks that begin a line and hold no blank line, status lines, collapsed output, token marks; last the status lines of these tables.
+#: Blocks that begin a line and hold no blank line (blank lines are marked first).
+BLOCKS = tuple(rf"(?m)^(?:> )?<{t}(?:\s[^>]*)?>[^\x01]*?</{t}>[ \t]*\n?" for t in _TAGS)
+#: Status lines, collapsed output, token marks; last the status lines of these tables.
 NOISE = (
-    *(re.compile(rf"(?m)^(?:> )?<{t}(?:\s[^>]*)?>(?:(?!\n\s*\n)[\s\S])*?</{t}>[ \t]*\n?") for t in _TAGS),
-    *(re.compile(rf"(?m)^(?:> )?{re.escape(p)}.*\n?") for p in _PREFIXES),
-    re.compile(rf"(?m)^(?:> )?Ran \d+ (?:{_HOOKS}) hook[s]?.*\n?"),
-    re.compile(r"(?m)^(?:> )?…\s*\+\d+ lines.*\n?"),
-    re.compile(r"\s*\[\d+\s+tokens?\]\s*\(ctrl\+o to expand\)"),
-    re.compile(r"(?m)^(?:\[hook\]|\[copy\]|Exported by the|>>> ).*$"),
+    rf"(?m)^(?:> )?(?:{'|'.join(re.escape(p) for p in _PREFIXES)}).*\n?",
+    rf"(?m)^(?:> )?Ran \d+ (?:{_HOOKS}) hooks?.*\n?",
+    r"(?m)^(?:> )?…\s*\+\d+ lines.*\n?",
+    r"\s*\[\d+\s+tokens?\]\s*\(ctrl\+o to expand\)",
+    r"(?m)^(?:\[hook\]|\[copy\]|Exported by the|>>> ).*$",
 )
 
 
-def stripped(text: str) -> str:
-    """Without noise and runs of blank lines."""
-    for p in NOISE:
-        text = p.sub("", text)
-    return re.sub(r"\n{4,}", "\n\n\n", text).strip()
-
-
-@F.pandas_udf(StringType())
-def without_noise(texts: pd.Series) -> pd.Series:
-    """Texts without noise; null stays null."""
-    return texts.map(lambda t: stripped(t) if t else t)
+def without_noise(text: Column) -> Column:
+    """Texts without noise and runs of blank lines; null stays null."""
+    marked = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit("")), r"\n(?=\s*\n)", "\n\x01")
+    clean = reduce(lambda c, p: F.regexp_replace(c, p, ""), BLOCKS, marked)
+    clean = reduce(lambda c, p: F.regexp_replace(c, p, ""), NOISE, F.replace(clean, F.lit("\x01"), F.lit("")))
+    return F.regexp_replace(F.regexp_replace(clean, r"\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
 
 
 def md_entries(text: Column) -> Column:

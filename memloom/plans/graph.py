@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators import graph as G
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
@@ -37,12 +38,13 @@ def graph_of(spark: SparkSession, d: str, dates: bool = False) -> DataFrame:
     return G.domain_nodes(gated(spark, d, dates))
 
 
-_GATED = f"{WITH}, gated AS (SELECT id, realm, domain, source_file, {meta_sql('added_by')} AS gate, {meta_sql('topic')} AS topic, CASE WHEN regexp_matches(created_at, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN substr(created_at, 1, 10) END AS date FROM ents)"
+_DAY = "CASE WHEN regexp_matches(created_at, '^\\d{4}-\\d{2}-\\d{2}') THEN substr(created_at, 1, 10) END"
+_GATED = f"{WITH}, gated AS (SELECT id, realm, domain, source_file, {meta_sql('added_by')} AS gate, {meta_sql('topic')} AS topic, {_DAY} AS date FROM ents)"
 _NODES = f"{_GATED}, n AS (SELECT domain, list_sort(list_distinct(list(realm))) AS realms, list_sort(list_distinct(list(gate) FILTER (gate IS NOT NULL))) AS gates, count(*) AS n, list_sort(list_distinct(list(date) FILTER (date IS NOT NULL)))[-5:] AS dates FROM gated WHERE domain <> 'general' AND trim(realm) <> '' GROUP BY domain)"
 _EDGES = f"{_NODES}, e AS (SELECT domain, a AS realm_a, b AS realm_b, gate, n FROM n, unnest(realms) t(a), unnest(realms) u(b), unnest(gates) v(gate) WHERE a < b)"
 
 
-@query(f"{_NODES} SELECT domain, array_to_string(realms, ',') AS realms, array_to_string(gates, ',') AS gates, n, array_to_string(dates, ',') AS dates FROM n")
+@query(f"{_NODES.replace('FROM ents', 'FROM tents').replace(WITH, TIMED).replace(_DAY, "CASE WHEN us IS NOT NULL THEN substr(norm, 1, 10) END")} SELECT domain, array_to_string(realms, ',') AS realms, array_to_string(gates, ',') AS gates, n, array_to_string(dates, ',') AS dates FROM n")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph_of(spark, d, dates=True).select("domain", *(F.array_join(c, ",").alias(c) for c in ("realms", "gates")), "n", F.array_join("dates", ",").alias("dates"))
 

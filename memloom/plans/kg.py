@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import kg as K
-from memloom.operators.timestamps import adapters, normalised
+from memloom.operators.timestamps import adapters, normalised_all
+from memloom.plans.times_sql import ADAPTERS, FACT_VALUES, MATCH, readings
 from memloom.session import table, written
 from memloom.sources.tables import WITH, entities, facts
 
@@ -40,9 +41,9 @@ def timed(f: DataFrame, adapters: DataFrame) -> DataFrame:
     """``f`` with valid_from and valid_to in the two standard forms, whatever their notation; null (open) where a value
     is missing, names no time or has two readings. ``adapters``: adapter_name, tz, date_order."""
     f = f.join(adapters, "adapter_name", "left")
-    for c in ("valid_from", "valid_to"):
-        f = normalised(f, c, "tz", "date_order").withColumn(c, K.utc_or_null(F.col("norm"))).drop("norm", "us", "is_date")
-    return f.drop("adapter_name", "tz", "date_order")
+    ends = ["valid_from", "valid_to"]
+    f = normalised_all(f, ends, "tz", "date_order").withColumns({c: K.utc_or_null(F.col(f"{c}_norm")) for c in ends})
+    return f.drop("adapter_name", "tz", "date_order", *(f"{c}_{k}" for c in ends for k in ("norm", "us", "is_date")))
 
 
 def graph(spark: SparkSession, d: str, where: Column | str = "true") -> DataFrame:
@@ -51,11 +52,13 @@ def graph(spark: SparkSession, d: str, where: Column | str = "true") -> DataFram
     return timed(spelled(spark, d).where(where), adapters(spark, d))
 
 
-_E = "replace(replace(lower({0}), ' ', '_'), '''', '')"
-_I = "CASE WHEN regexp_matches({0}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(T\\d{{2}}:\\d{{2}}:\\d{{2}}Z)?$') AND TRY_CAST(substr({0}, 1, 10) AS DATE) IS NOT NULL THEN {0} END"
-_G = f"{WITH}, g AS (SELECT id, {_E.format('subject')} AS subject, replace(lower(predicate), ' ', '_') AS predicate, {_E.format('object')} AS object, {_I.format('valid_from')} AS valid_from, {_I.format('valid_to')} AS valid_to, confidence, source_entity_id FROM fcts)"
-_S, _Z = ("CASE WHEN length({0}) = 10 THEN {0} || '" + x + "' ELSE {0} END" for x in ("T00:00:00Z", "T23:59:59Z"))
-_ASOF = f"(valid_from IS NULL OR {_S.format('valid_from')} <= '{T}T23:59:59Z') AND (valid_to IS NULL OR {_Z.format('valid_to')} >= '{T}T00:00:00Z')"
+_E = "replace(replace(lower({0}), ' ', '_'), '\'\'', '')"
+_N = "CASE WHEN {0}.norm NOT IN ('none', 'ambiguous') THEN replace({0}.norm, '.000000Z', 'Z') END"
+_G = f"""{WITH}, {ADAPTERS}, {readings(FACT_VALUES)},
+    g AS (SELECT id, {_E.format('subject')} AS subject, replace(lower(predicate), ' ', '_') AS predicate, {_E.format('object')} AS object, {_N.format('b')} AS valid_from, {_N.format('e')} AS valid_to, confidence, source_entity_id
+    FROM fcts LEFT JOIN ad USING (adapter_name) LEFT JOIN rd b ON {MATCH.format(r='b', v='fcts.valid_from', a='ad')} LEFT JOIN rd e ON {MATCH.format(r='e', v='fcts.valid_to', a='ad')})"""
+_S, _Z = ("CASE length({0}) WHEN 10 THEN {0} || 'T" + x + ".000000Z' WHEN 20 THEN substr({0}, 1, 19) || '.000000Z' ELSE {0} END" for x in ("00:00:00", "23:59:59"))
+_ASOF = f"(valid_from IS NULL OR {_S.format('valid_from')} <= '{T}T23:59:59.999999Z') AND (valid_to IS NULL OR {_Z.format('valid_to')} >= '{T}T00:00:00.000000Z')"
 
 
 @query(f"{_G} SELECT id, subject, predicate, object FROM g WHERE {_ASOF}")
@@ -73,7 +76,7 @@ def kg_relationship(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d, F.col("predicate") == "owned_by").where(K.as_of(T)).select("id", "subject", "object", "valid_from")
 
 
-@query(f"{_G} SELECT id, predicate, object, valid_from FROM g WHERE subject = '{HUB}' ORDER BY valid_from NULLS LAST, id LIMIT 100")
+@query(f"{_G} SELECT id, predicate, object, valid_from FROM g WHERE subject = '{HUB}' ORDER BY {_S.format('valid_from')} NULLS LAST, id LIMIT 100")
 def kg_timeline(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d, F.col("subject") == HUB).orderBy(K.start_key(F.col("valid_from")).asc_nulls_last(), "id").limit(100).select("id", "predicate", "object", "valid_from")
 
@@ -93,7 +96,7 @@ def kg_related_2hop(spark: SparkSession, d: str) -> DataFrame:
     return K.walk(spelled(spark, d), HUB, 2)
 
 
-@query(f"{_G} SELECT name, max(outgoing) AS outgoing, max(incoming) AS incoming, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM (SELECT subject AS name, count(*) AS outgoing, 0 AS incoming, min(valid_from) AS first_seen, max(valid_from) AS last_seen FROM g GROUP BY 1 UNION ALL SELECT object, 0, count(*), min(valid_from), max(valid_from) FROM g GROUP BY 1) WHERE name IS NOT NULL GROUP BY name")
+@query(f"{_G} SELECT name, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming, split_part(min(k), '|', 2) AS first_seen, split_part(max(k), '|', 2) AS last_seen FROM (SELECT subject AS name, 1 AS o, 0 AS i, {_S.format('valid_from')} || '|' || valid_from AS k FROM g UNION ALL SELECT object, 0, 1, {_S.format('valid_from')} || '|' || valid_from FROM g) WHERE name IS NOT NULL GROUP BY name")
 def kg_entity_card(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
     side = lambda c, o, i: g.select(F.col(c).alias("name"), F.lit(o).alias("o"), F.lit(i).alias("i"), "valid_from")
@@ -119,7 +122,7 @@ def kg_resolve_chain(spark: SparkSession, d: str) -> DataFrame:
     return K.resolved(pairs, 10)
 
 
-_NEW = "nw AS (SELECT subject, predicate, object, f AS valid_from, t AS valid_to, confidence FROM (SELECT subject, predicate, object, coalesce(valid_from, '') AS f0, coalesce(valid_to, '') AS t0, valid_from AS f, valid_to AS t, confidence, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY coalesce(valid_from, '') DESC, coalesce(valid_to, '') DESC, confidence DESC) AS k FROM g WHERE id % 2 = 1 AND confidence >= 0.9 AND NOT coalesce({z} < {s}, false)) WHERE k = 1)".format(z=_Z.format("valid_to"), s=_S.format("valid_from"))
+_NEW = "nw AS (SELECT subject, predicate, object, f AS valid_from, t AS valid_to, confidence FROM (SELECT subject, predicate, object, coalesce(valid_from, '') AS f0, coalesce(valid_to, '') AS t0, valid_from AS f, valid_to AS t, confidence, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY {s} DESC NULLS LAST, {z} DESC NULLS LAST, coalesce(valid_from, '') DESC, coalesce(valid_to, '') DESC, confidence DESC) AS k FROM g WHERE id % 2 = 1 AND confidence >= 0.9 AND NOT coalesce({z} < {s}, false)) WHERE k = 1)".format(z=_Z.format("valid_to"), s=_S.format("valid_from"))
 
 
 @query(
@@ -132,13 +135,21 @@ def kg_upsert_triples(spark: SparkSession, d: str) -> DataFrame:
     return K.upsert_triples(g.where("confidence < 0.9"), g.where("confidence >= 0.9").drop("id"))
 
 
-@query(f"{_G} SELECT id, CASE WHEN valid_to IS NULL AND coalesce(predicate = 'has_status' AND object = 'paused', false) AND (valid_from IS NULL OR {_S.format('valid_from')} <= '{T}T23:59:59Z') THEN '{T}' ELSE valid_to END AS valid_to FROM g")
+@query(f"{_G} SELECT id, CASE WHEN valid_to IS NULL AND coalesce(predicate = 'has_status' AND object = 'paused', false) AND (valid_from IS NULL OR {_S.format('valid_from')} <= '{T}T23:59:59.999999Z') THEN '{T}' ELSE valid_to END AS valid_to FROM g")
 def kg_invalidate(spark: SparkSession, d: str) -> DataFrame:
     gone = F.coalesce((F.col("predicate") == "has_status") & (F.col("object") == "paused"), F.lit(False))
     return K.invalidate(graph(spark, d), gone, T).select("id", "valid_to")
 
 
-@query(f"{_G} SELECT g.id, g.object AS claimed, h.object AS held, CASE WHEN g.object = h.object THEN 'stale_fact' ELSE 'relationship_mismatch' END AS problem FROM g JOIN g h ON h.subject = g.subject AND h.predicate = g.predicate AND h.id > g.id WHERE g.predicate = 'located_in' AND h.valid_to IS NOT NULL AND g.valid_to IS NULL AND g.subject <> '{HUB}'")
+_W = "[\\p{L}\\p{N}_-]"
+_CLAIM = [rf"([A-Z]{_W}+)\s+is\s+([A-Z]{_W}+)''s\s+([a-z]{{3,20}})\b", rf"([A-Z]{_W}+)''s\s+([a-z]{{3,20}})\s+is\s+([A-Z]{_W}+)", r"([\p{L}]+) (replaced|contradicts|follows|covers) the ([a-z]+ [a-z]+)"]
+_CLAIMS = " UNION ".join(f"SELECT id, {_E.format(f'x.g{s}')} AS subject, lower(x.g{c}) AS claimed, {_E.format(f'x.g{o}')} AS object FROM (SELECT id, regexp_extract(unnest(regexp_extract_all(content, '{p}')), '{p}', ['g1', 'g2', 'g3']) AS x FROM ents)" for p, (s, c, o) in zip(_CLAIM, ((1, 3, 2), (3, 2, 1), (1, 2, 3)), strict=True))
+
+
+@query(
+    f"""{_G}, c AS ({_CLAIMS}), h AS (SELECT subject, object, predicate AS held, bool_or(NOT over) AS current, split_part(max(CASE WHEN over THEN {_Z.format('valid_to')} || '|' || valid_to END), '|', 2) AS ended FROM (SELECT *, coalesce({_Z.format('valid_to')} < '{T}T00:00:00.000000Z', false) AS over FROM g WHERE predicate IS NOT NULL) GROUP BY ALL)
+    SELECT * FROM (SELECT id, subject, object, claimed, held, CASE WHEN held = claimed THEN ended END AS valid_to, CASE WHEN held = claimed AND ended IS NOT NULL THEN 'stale_fact' WHEN held <> claimed AND current THEN 'relationship_mismatch' END AS problem FROM c JOIN h USING (subject, object)) WHERE problem IS NOT NULL"""
+)
 def claim_check(spark: SparkSession, d: str) -> DataFrame:
     c = written(K.claims_of(entities(spark, d).select("id", "content")).withColumns({k: even(k) for k in ("subject", "object")}).distinct())
     f = spelled(spark, d).join(c.select("subject", "object").distinct(), ["subject", "object"], "left_semi")
@@ -153,13 +164,13 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.lower(F.regexp_extract("s", pat, 1)).alias("a"), F.lower(F.regexp_extract("s", pat, 3)).alias("b")).distinct()
 
 
-@query(f"{_G}, n AS (SELECT DISTINCT subject AS name FROM g WHERE predicate = 'stored_in') SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 8) = substr(b.name, 1, 8) AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) BETWEEN 1 AND 2")
+@query(f"{_G}, n AS (SELECT subject AS name FROM g WHERE subject IS NOT NULL UNION SELECT object FROM g WHERE object IS NOT NULL) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 2 WHERE levenshtein(a.name, b.name) BETWEEN 1 AND 2")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
     f = spelled(spark, d)
     return K.near_names(f.select(F.col("subject").alias("name")).unionByName(f.select(F.col("object").alias("name"))))
 
 
-@query(f"{_G} SELECT subject, predicate, count(*) AS versions, max(valid_from) AS latest_from, arg_max(object, coalesce(valid_from, '') || lpad(id::VARCHAR, 20, '0')) AS latest_object FROM g WHERE predicate IN (SELECT predicate FROM predicates WHERE single_valued) GROUP BY ALL")
+@query(f"{_G} SELECT subject, predicate, count(*) AS versions, split_part(max({_S.format('valid_from')} || '|' || valid_from), '|', 2) AS latest_from, arg_max(object, coalesce({_S.format('valid_from')}, '') || lpad(id::VARCHAR, 20, '0')) AS latest_object FROM g WHERE predicate IN (SELECT predicate FROM predicates WHERE single_valued) GROUP BY ALL")
 def kg_latest(spark: SparkSession, d: str) -> DataFrame:
     single = table(spark, d, "predicates").where("single_valued").select("predicate")
     key = K.start_key(F.col("valid_from"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from memloom.operators import history, timestamps
-from memloom.plans import graph, kg, relational, search, streams, text
+from memloom.plans import graph, kg, relational, search, streams, text, times_sql
 
 _MODULES = (relational, search, kg, graph, text, streams)
 
@@ -12,7 +12,7 @@ QUERIES = {
     "p2_history": history.p2_history,
     "p3_found": timestamps.p3_found,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": times_sql.P2, "p3_found": times_sql.P3}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.operators import relational as R
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
@@ -30,7 +31,7 @@ def get_entity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entities").where("id = 'ent_000000042'").select("id", "realm", "domain", "content").distinct()
 
 
-@query(f"{WITH} SELECT id, realm, domain, created_at FROM ents WHERE realm = 'work' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20")
+@query(f"{TIMED} SELECT id, realm, domain, created_at FROM tents WHERE realm = 'work' ORDER BY us DESC NULLS LAST, id LIMIT 20 OFFSET 20")
 def list_entities_page(spark: SparkSession, d: str) -> DataFrame:
     return R.page(created(entities(spark, d, "realm = 'work'"), adapters(spark, d), "id", "realm", "domain", "created_at"), 20, 20).select("id", "realm", "domain", "created_at")
 
@@ -64,7 +65,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(f"{WITH} SELECT (SELECT count(*) FROM ents) AS total, arg_max(id, created_at || id) AS latest_id, substr(arg_max(content, created_at || id), 1, 100) AS preview FROM ents WHERE created_at IS NOT NULL")
+@query(f"{TIMED} SELECT (SELECT count(*) FROM tents) AS total, id AS latest_id, substr(content, 1, 100) AS preview FROM tents ORDER BY us DESC NULLS LAST, id DESC LIMIT 1")
 def memories_filed_away(spark: SparkSession, d: str) -> DataFrame:
     e = created(entities(spark, d), adapters(spark, d), "id", "content")
     at = F.struct("us", "id")  # unknown times are the least

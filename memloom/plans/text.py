@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import text as T
 from memloom.functions.words import words
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql
 
@@ -59,7 +60,15 @@ def md_entries(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).where("content IS NOT NULL").select("id", F.size(T.md_entries(F.col("content"))).cast("long").alias("entries"))
 
 
-@query(f"{WITH} SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?m)^(?:\\[hook\\]|\\[copy\\]|Exported by the|>>> ).*$', '', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS content FROM ents WHERE NOT regexp_matches(content, '<(system|tool|hook)')")
+def _noise_sql(text: str) -> str:
+    """The rules in a syntax without lookahead: inside a block a line break is followed by a line that isn't blank."""
+    for p in T.BLOCKS + T.NOISE:
+        p = p.replace(r"[^\x01]*?", r"(?:[^\n]|\n[ \t]*[^\s])*?(?:\n[ \t]*)?")
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return text
+
+
+@query(f"{WITH} SELECT id, regexp_replace(regexp_replace({_noise_sql('content')}, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS content FROM ents WHERE content IS NOT NULL")
 def strip_noise(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).where("content IS NOT NULL").select("id", T.without_noise(F.col("content")).alias("content"))
 
@@ -73,7 +82,7 @@ def _first(scores: dict[str, str], none: str) -> str:
     return f"CASE WHEN {g} <= 0 THEN '{none}' " + " ".join(f"WHEN {s} = {g} THEN '{k}'" for k, s in scores.items()) + " END"
 
 
-@query(f"{WITH} SELECT id, {_first({k: _hits('substr(content, 1, 3000)', w) for k, w in T.TOPICS.items()}, 'general')} AS topic FROM ents WHERE content IS NOT NULL")
+@query(f"{WITH} SELECT id, {_first({k: _hits('content', w) for k, w in T.TOPICS.items()}, 'general')} AS topic FROM ents WHERE content IS NOT NULL")
 def topic_routing(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).where("content IS NOT NULL").select("id", T.topic(F.col("content")).alias("topic"))
 
@@ -189,7 +198,7 @@ def _importance():
 
 
 @query(
-    f"""{WITH}, t AS (SELECT id, domain, substr(content, 1, 200) AS snippet, {_IMP}::DOUBLE AS importance FROM (SELECT * FROM ents WHERE realm = 'work' ORDER BY created_at DESC NULLS LAST, id LIMIT 2000) ORDER BY importance DESC, id LIMIT 15)
+    f"""{TIMED}, t AS (SELECT id, domain, substr(content, 1, 200) AS snippet, {_IMP}::DOUBLE AS importance FROM (SELECT * FROM tents WHERE realm = 'work' ORDER BY us DESC NULLS LAST, id LIMIT 2000) ORDER BY importance DESC, id LIMIT 15)
     SELECT id, domain, snippet FROM (SELECT *, sum(length(snippet)) OVER (ORDER BY domain, id) AS run FROM t) WHERE run <= 3200"""
 )
 def l1_essential(spark: SparkSession, d: str) -> DataFrame:
@@ -199,19 +208,19 @@ def l1_essential(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("run", run).where("run <= 3200").select("id", "domain", "snippet")
 
 
-@query(f"{WITH} SELECT id, domain, substr(content, 1, 300) AS snippet FROM ents WHERE realm = 'research' AND domain = 'reading' ORDER BY created_at DESC NULLS LAST, id LIMIT 10")
+@query(f"{TIMED} SELECT id, domain, substr(content, 1, 300) AS snippet FROM tents WHERE realm = 'research' AND domain = 'reading' ORDER BY us DESC NULLS LAST, id LIMIT 10")
 def recall_l2(spark: SparkSession, d: str) -> DataFrame:
     e = _created(spark, d, "realm = 'research' AND domain = 'reading'", "id", "domain", "content").orderBy(_newest(), "id").limit(10)
     return e.select("id", "domain", F.substring("content", 1, 300).alias("snippet"))
 
 
-@query(f"{WITH} SELECT domain, id FROM (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents WHERE realm LIKE 'agent%') WHERE k <= 5")
+@query(f"{TIMED} SELECT domain, id FROM (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY us DESC NULLS LAST, id) AS k FROM tents WHERE realm LIKE 'agent%') WHERE k <= 5")
 def layer_last_n(spark: SparkSession, d: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("domain").orderBy(_newest(), "id"))
     return _created(spark, d, "startswith(realm, 'agent')", "id", "domain").withColumn("k", k).where("k <= 5").select("domain", "id")
 
 
-@query(f"{WITH} SELECT realm, string_agg(substr(content, 1, 200), chr(10) ORDER BY k) AS summary FROM (SELECT realm, content, row_number() OVER (PARTITION BY realm ORDER BY created_at DESC NULLS LAST, id) AS k FROM ents) WHERE k <= 10 GROUP BY realm")
+@query(f"{TIMED} SELECT realm, string_agg(substr(content, 1, 200), chr(10) ORDER BY k) AS summary FROM (SELECT realm, content, row_number() OVER (PARTITION BY realm ORDER BY us DESC NULLS LAST, id) AS k FROM tents) WHERE k <= 10 GROUP BY realm")
 def layer_summary(spark: SparkSession, d: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("realm").orderBy(_newest(), "id"))
     top = _created(spark, d, None, "id", "realm", "content").select("realm", F.substring("content", 1, 200).alias("c"), k.alias("k")).where("k <= 10 AND c IS NOT NULL")

@@ -20,9 +20,15 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("text", "want"), CASES)
-def test_noise_rules(text, want):
-    assert T.stripped(text) == want
+@pytest.mark.parametrize(("text", "want"), [*CASES, (None, None), ("", "")])
+def test_noise_rules(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.without_noise(F.col("t")).alias("t")).first()["t"] == want
+
+
+def test_long_blocks(spark):
+    """A block of 100,000 lines is stripped like a short one."""
+    long = "a\n<hook_output>" + "line <b>\n" * 100_000 + "</hook_output>\nb"
+    assert spark.createDataFrame([(long,)], "t string").select(T.without_noise(F.col("t")).alias("t")).first()["t"] == "a\nb"
 
 
 def test_texts_with_noise_stay(spark, tmp_path):
