@@ -200,8 +200,9 @@ def test_long_text_with_personal_data(spark):
 # Leaks
 
 
-@pytest.mark.parametrize("per_set", [20_000, 7])
-def test_leaks(spark, per_set):
+@pytest.mark.parametrize("most", [{}, {"cell_bits": 8, "filter_bits": 8}])
+def test_leaks(spark, most):
+    """Small tables let many false candidates through; the result is the same."""
     r = random.Random(3)
     items = [(k, sentence(r, 40)) for k in range(30)] + [(90, None), (91, "few words"), (92, "")]
     docs = []
@@ -222,11 +223,21 @@ def test_leaks(spark, per_set):
             if any(tuple(a[k : k + 15]) in runs for k in range(len(a) - 14)):
                 want.add((d, i))
     df = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
-    got = leak.leaks(df, spark.createDataFrame(items, "item_id long, text string"), per_set=per_set)
+    got = leak.leaks(df, spark.createDataFrame(items, "item_id long, text string"), **most)
     rows = [tuple(x) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 20
 
 
+def test_many_items_in_one_scan(spark, tmp_path):
+    r = random.Random(5)
+    texts = [sentence(r, 20) for _ in range(5000)]
+    spark.createDataFrame([(k, f"{sentence(r, 30)} {texts[k * 7]} {sentence(r, 30)}") for k in range(100)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = leak.leaks(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/docs") == 1
+    assert {tuple(x) for x in got.collect()} == {(k, k * 7) for k in range(100)}
+
+
 def test_no_items(spark):
     docs = spark.createDataFrame([(1, sentence(random.Random(0), 50))], "doc_id long, text string")
     assert leak.leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
