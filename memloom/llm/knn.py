@@ -1,13 +1,14 @@
 """The most similar vectors of every vector, by multi-index hashing.
 
-Unit vectors are rotated by principal axes and an iterative quantisation fitted on a bounded sample, and turned
-into binary codes. A code is split into ``TABLES`` substrings, each with an index of its own. By the pigeonhole
-principle two codes within Hamming distance TABLES * (r + 1) - 1 agree in some substring up to r bits, so each
-substring is probed within radius r = ``PROBE``; what is met is ranked by the cosine of the floats.
-
-The leading bits of a substring name the task that holds its bucket, the other bits are probed inside it with
-one matrix product a bucket. Leading bits are added as the table grows, and a task's share that is too
-large for one task is split into several indexes which all its queries visit, so every row is indexed.
+Unit vectors are rotated by principal axes and an iterative quantisation fitted on a bounded sample, and turned into binary codes.
+A code is split into ``TABLES`` substrings, each with an index of its own. By the pigeonhole principle two codes within Hamming
+distance TABLES * (r + 1) - 1 agree in some substring up to r bits, so each substring is probed within radius r = ``PROBE``; what
+is met is ranked by the cosine of the floats.
+
+The work is spread by cells: every vector is indexed in the cell of its nearest centroid (fitted on the same sample) and asks in the
+nearest few, more of them the more cells there are. A cell's index holds all tables, so a vector travels once for each cell it asks
+in, not once for each table. A cell with many rows is cut into several indexes and its queries into several blocks, so what a task
+holds has a fixed bound. Equal vectors are one row of the index; their ids are put back at the end.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memloom.session import table
+from memloom.operators.search import usable
+from memloom.session import small, table, written
 
 DIM, K = 384, 5
-TABLES, PROBE, LOW_BITS = 8, 2, 12
-SAMPLE = 4096  # rows the rotation is fitted on
-TASK_ROWS = 131_072  # indexed rows a task should hold
+TABLES, PROBE, LOW_BITS = 4, 2, 12
+SAMPLE, ROTATION_SAMPLE = 16_384, 4096  # rows that centroids and rotation are fitted on
+CELL_ROWS, MOST_CELLS = 16_384, 4096
+#: Indexed rows and queries that a task may hold.
+TASK_ROWS, TASK_QUERIES = 262_144, 131_072
 BLOCK = 1024  # queries in one matrix product
 
 
@@ -43,154 +47,234 @@ def matrix(column: pa.Array, dim: int = DIM) -> np.ndarray:
     return out
 
 
-def fit_rotation(x: np.ndarray, bits: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection to ``bits`` dimensions whose signs are the code: principal axes, then the rotation that
-    brings the sample closest to its own signs."""
-    mean = x.mean(0)
-    _, axes = np.linalg.eigh(np.cov((x - mean).T))
+def fit_rotation(x: np.ndarray, bits: int, rounds: int = 20) -> np.ndarray:
+    """Projection to ``bits`` dimensions whose signs are the code: principal axes, then the rotation that brings the sample
+    closest to its own signs."""
+    if len(x) < 2:
+        return np.eye(x.shape[1], bits, dtype=np.float32)
+    _, axes = np.linalg.eigh(np.cov((x - x.mean(0)).T))
     rng = np.random.default_rng(4)
     axes = axes[:, ::-1][:, :bits]
-    v = (x - mean) @ axes
+    v = (x - x.mean(0)) @ axes
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     rotation = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
         rotation = (u @ w).T
-    return mean.astype(np.float32), (axes @ rotation)[:, rng.permutation(bits)].astype(np.float32)
+    return (axes @ rotation)[:, rng.permutation(bits)].astype(np.float32)
+
+
+def fit_cells(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of at most ``cells`` cells."""
+    rng = np.random.default_rng(6)
+    c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[k : k + 4096] @ c.T).argmax(1) for k in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c)
+    return c.astype(np.float32)
+
+
+def asked_cells(cells: int) -> int:
+    """In how many cells a vector asks."""
+    return min(cells, max(2, math.ceil(math.log2(max(1, cells))) - 5))
+
 
+def packed(unit: np.ndarray) -> np.ndarray:
+    """Rows of numbers as 12 bits each: a byte for the upper eight, half a byte for the lower four."""
+    n = np.rint(unit * (2047 / np.abs(unit).max(1, keepdims=True))).astype(np.int16) + 2048
+    low = (n & 15).astype(np.uint8)
+    if low.shape[1] % 2:
+        low = np.pad(low, ((0, 0), (0, 1)))
+    return np.concatenate([(n >> 4).astype(np.uint8), low[:, ::2] << 4 | low[:, 1::2]], 1)
 
-def substrings(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, tables: int) -> np.ndarray:
-    """Codes of unit vectors, one column for each table."""
-    bits = ((x - mean) @ axes > 0).reshape(len(x), tables, -1)
+
+def unpacked(rows: np.ndarray, dim: int) -> np.ndarray:
+    """The numbers of ``packed``, whole."""
+    low = np.stack([rows[:, dim:] >> 4, rows[:, dim:] & 15], 2).reshape(len(rows), -1)[:, :dim]
+    return (rows[:, :dim].astype(np.int16) << 4 | low) - np.int16(2048)
+
+
+def codes_of(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, low: int) -> np.ndarray:
+    """Codes of unit vectors, ``low`` bits in a column for each table."""
+    bits = ((x - mean) @ axes > 0).reshape(len(x), TABLES, -1)[:, :, :low]
     return bits @ (1 << np.arange(bits.shape[2]))
 
 
-def _near(width: int, radius: int) -> np.ndarray:
-    every = np.arange(1 << width)
-    return every[np.bitwise_count(every) <= radius]
+def search(x: np.ndarray, who: np.ndarray, held: np.ndarray, asks: np.ndarray, axes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row that asks, row met, cosine): the best ``k`` of the rows ``held`` that probing meets for each row of ``asks``.
 
+    ``x``: whole numbers; ``who``: number of a row's id, which never meets itself. Thresholds of the code bits are the means of
+    the held rows, so that they divide these evenly.
+    """
+    inverse = np.concatenate([1 / np.maximum(np.linalg.norm(x[a : a + 8192].astype(np.float32), axis=1), 1) for a in range(0, len(x), 8192)])
+    mean = sum(((x[at].astype(np.float32) * inverse[at][:, None]).sum(0, dtype=np.float64) for at in np.array_split(held, len(held) // 8192 + 1)), 0) / len(held)
+    low = min(axes.shape[1] // TABLES, max(2, round(math.log2(len(held) / 16)))) if len(held) > 16 else 2
+    of = lambda rows: np.concatenate([codes_of(x[at].astype(np.float32) * inverse[at][:, None], mean.astype(np.float32), axes, low) for at in np.array_split(rows, len(rows) // 8192 + 1)])
+    held_codes, ask_codes = of(held), of(asks)
+    every = np.arange(1 << low)
+    masks = every[np.bitwise_count(every) <= PROBE]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for t in range(TABLES):
+        h, q = np.argsort(held_codes[:, t], kind="stable"), np.argsort(ask_codes[:, t], kind="stable")
+        mine, own = held[h], asks[q]
+        edges = np.searchsorted(held_codes[h, t], np.arange((1 << low) + 1))
+        bounds = np.searchsorted(ask_codes[q, t], np.arange((1 << low) + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            near = c ^ masks
+            lo, hi = edges[near], edges[near + 1]
+            full = hi > lo
+            if not full.any():
+                continue
+            at = mine[np.concatenate([np.arange(a, b) for a, b in zip(lo[full], hi[full], strict=True)])]
+            y = x[at].astype(np.float32).T
+            y *= inverse[at]
+            for b in range(bounds[c], bounds[c + 1], BLOCK):
+                rows = own[b : min(b + BLOCK, bounds[c + 1])]
+                cos = x[rows].astype(np.float32) @ y
+                cos *= inverse[rows][:, None]
+                cos[who[rows][:, None] == who[at][None, :]] = -2
+                take = min(k, len(at))
+                top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(at) else np.broadcast_to(np.arange(take), (len(rows), take))
+                best = np.take_along_axis(cos, top, 1)
+                ok = best > -2
+                out.append((np.repeat(rows, take).reshape(top.shape)[ok], at[top[ok]], best[ok]))
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
+    a, o, cos = (np.concatenate(z) for z in zip(*out, strict=True))
+    order = np.lexsort((who[o], -cos, a))
+    a, o, cos = a[order], o[order], cos[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (who[o[1:]] != who[o[:-1]])
+    a, o, cos = a[fresh], o[fresh], cos[fresh]
+    start = np.searchsorted(a, a)
+    best = np.arange(len(a)) - start < k
+    return a[best], o[best], cos[best]
 
-def _search(low: int, k: int):
-    masks = _near(low, PROBE)
 
+def _search(axes, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         if not t.num_rows:
             return
         ids = t["id"].combine_chunks().dictionary_encode()
         who = ids.indices.to_numpy()
-        part, code, indexed = (t[c].to_numpy() for c in ("part", "code", "indexed"))
+        indexed, asking = (t[c].to_numpy() for c in ("indexed", "asks"))
         v = t["v"].combine_chunks()
         del t
-        x = np.frombuffer(v.buffers()[2], np.int16).reshape(len(v), -1)
-        # Whole numbers stay as they are; only what a product needs becomes floats.
-        inverse = np.concatenate([1 / np.maximum(np.linalg.norm(x[k : k + 8192].astype(np.float32), axis=1), 1) for k in range(0, len(x), 8192)])
-        for p in np.unique(part):
-            own = np.flatnonzero(part == p)
-            own = own[np.unique(who[own], return_index=True)[1]]  # an id delivered twice stands once
-            own = own[np.argsort(code[own], kind="stable")]
-            held = own[indexed[own]]
-            edges = np.searchsorted(code[held], np.arange((1 << low) + 1))
-            bounds = np.searchsorted(code[own], np.arange((1 << low) + 1))
-            for c in np.flatnonzero(np.diff(bounds)):
-                near = c ^ masks
-                lo, hi = edges[near], edges[near + 1]
-                full = hi > lo
-                if not full.any():
-                    continue
-                met = np.concatenate([np.arange(a, b) for a, b in zip(lo[full], hi[full], strict=True)])
-                at = held[met]
-                y = x[at].astype(np.float32).T
-                for b in range(bounds[c], bounds[c + 1], BLOCK):
-                    q = np.arange(b, min(b + BLOCK, bounds[c + 1]))
-                    cos = x[own[q]].astype(np.float32) @ y
-                    cos *= inverse[own[q]][:, None]
-                    cos *= inverse[at][None, :]
-                    cos[who[own[q]][:, None] == who[at][None, :]] = -2
-                    take = min(k + 1, len(met))
-                    top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(met) else np.broadcast_to(np.arange(take), (len(q), take))
-                    best = np.take_along_axis(cos, top, 1)
-                    ok = best > -2
-                    a = np.repeat(own[q], take).reshape(top.shape)[ok]
-                    yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(who[a])), ids.dictionary.take(pa.array(who[at[top]][ok])), pa.array(best[ok])], ["id", "other", "cos"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n > 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return joined
+        x = unpacked(np.frombuffer(v.buffers()[2], np.uint8).reshape(len(v), -1), dim)
+        once = lambda rows: rows[np.unique(who[rows], return_index=True)[1]]  # noqa: E731  (an id delivered twice stands once)
+        held, asks = once(np.flatnonzero(indexed)), once(np.flatnonzero(asking))
+        if not len(held) or not len(asks):
+            return
+        a, o, cos = search(x, who, held, asks, axes.value, k)
+        rows, first = np.unique(a, return_index=True)
+        ends = pa.array(np.append(first, len(a)).astype(np.int32))
+        for lo in range(0, len(rows), 20_000):
+            hi = min(lo + 20_000, len(rows))
+            part = ends[lo : hi + 1]
+            base = part[0].as_py()
+            cut = slice(base, part[-1].as_py())
+            at = pa.array(part.to_numpy() - base)
+            yield pa.RecordBatch.from_arrays(
+                [ids.dictionary.take(pa.array(who[rows[lo:hi]])), pa.ListArray.from_arrays(at, ids.dictionary.take(pa.array(who[o[cut]]))), pa.ListArray.from_arrays(at, pa.array(cos[cut]))], ["id", "others", "cos"]
+            )
 
+    return run
 
-def nearest(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = DIM, k: int = K) -> DataFrame:
-    """(id, others ARRAY<STRING>): for every id with a usable vector the ids of the ``k`` vectors of highest cosine
-    that the probes meet, best first (ties: larger id first).
 
-    Vectors that are null, zero, not of ``dim`` numbers or hold nulls, NaN or infinities take no part. An id
-    delivered several times is one id. Fewer than k others are given where fewer are met; an empty table gives no
-    rows. Other columns are ignored.
-    """
-    base = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    n = df.count()
-    head = max(0, math.ceil(math.log2(max(1, n) / TASK_ROWS)))
-    low = int(min(LOW_BITS, max(2, round(math.log2(max(1, n) / 16)))))
-    width = head + low
+def _spread(base: DataFrame, rows: int, dim: int, k: int) -> DataFrame | None:
+    """(id, others, cos): for every row of ``base`` (id, v) and each cell in which it asks the best rows met; None if there is no vector."""
+    spark = base.sparkSession
     drawn = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     x = matrix(drawn["v"], dim) if drawn.num_rows else np.empty((0, dim), np.float32)
-    x = x[~np.isnan(x[:, 0])]
-    if len(x) < 2:
-        return base.select("id", F.array().cast("array<string>").alias("others")).limit(0)
-    mean, axes = fit_rotation(x, min(dim, TABLES * width))
-    tables = axes.shape[1] // width
-    axes = axes[:, : tables * width]
+    x = np.unique(x[~np.isnan(x[:, 0])], axis=0)
+    if not len(x):
+        return None
+    x = x[np.random.default_rng(8).permutation(len(x))]
+    centroids = fit_cells(x, min(MOST_CELLS, max(1, math.ceil(rows / CELL_ROWS))))
+    axes = fit_rotation(x[:ROTATION_SAMPLE], min(dim // TABLES, LOW_BITS) * TABLES)
+    cells, asked = len(centroids), asked_cells(len(centroids))
+    centroids, axes = spark.sparkContext.broadcast(centroids), spark.sparkContext.broadcast(axes)
 
-    def parts(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def placed(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that can be used, their unit vectors, and the cells in which each asks, the nearest first."""
         m = matrix(v, dim)
         good = np.flatnonzero(~np.isnan(m[:, 0]))
-        codes = substrings(m[good], mean, axes, tables)
-        return good, m, codes
+        near = m[good] @ centroids.value.T
+        top = np.argpartition(-near, asked - 1, axis=1)[:, :asked] if asked < cells else np.broadcast_to(np.arange(cells), near.shape)
+        return good, m[good], np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
 
-    splits = np.ones(tables << head, np.int64)
-    if head:
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(tables << head, np.int64)
-            for b in batches:
-                codes = parts(b.column("v"))[2]
-                total += np.bincount(((np.arange(tables) << head) + (codes >> low)).ravel(), minlength=len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["part", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asks = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for b in batches:
+            near = placed(b.column("v"))[2]
+            held += np.bincount(near[:, 0], minlength=cells)
+            asks += np.bincount(near.ravel(), minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(held), pa.array(asks)], ["cell", "held", "asks"])
 
-        for p, c in base.mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n")).collect():
-            splits[p] = max(1, math.ceil(c / (2 * TASK_ROWS)))
-    first = np.concatenate([[0], np.cumsum(splits)])
+    splits, blocks = np.ones(cells, np.int64), np.ones(cells, np.int64)
+    for c, held, asks in base.mapInArrow(count, "cell long, held long, asks long").groupBy("cell").agg(F.sum("held"), F.sum("asks")).collect():
+        splits[c], blocks[c] = max(1, math.ceil(held / TASK_ROWS)), max(1, math.ceil(asks / TASK_QUERIES))
+    first = np.concatenate([[0], np.cumsum(splits * blocks)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good, m, codes = parts(b.column("v"))
+            good, unit, near = placed(b.column("v"))
             if not len(good):
                 continue
-            unit = m[good]
-            whole = np.rint(unit * (32767 / np.abs(unit).max(1, keepdims=True))).astype(np.int16)
-            vs = np.array([r.tobytes() for r in whole], object)
+            vs = np.array([r.tobytes() for r in packed(unit)], object)
             ids = b.column("id").take(pa.array(good))
-            for t in range(tables):
-                at = (t << head) + (codes[:, t] >> low)
-                rest = codes[:, t] & ((1 << low) - 1)
-                for s in range(int(splits[at].max())):
-                    to = np.flatnonzero(splits[at] > s)
-                    mine = (np.frombuffer(whole[to].tobytes(), np.uint16).reshape(len(to), -1)[:, :4].sum(1) % splits[at[to]]) == s
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(to)), pa.array((first[at[to]] + s).astype(np.int32)), pa.array(rest[to].astype(np.int32)), pa.array(mine), pa.array(vs[to], pa.binary())], ["id", "part", "code", "indexed", "v"])
-
-    spread = base.mapInArrow(emit, "id string, part int, code int, indexed boolean, v binary").repartitionById(int(first[-1]), "part")
-    found = spread.mapInArrow(_search(low, k), "id string, other string, cos float")
-    ranked = F.sort_array(F.collect_list(F.struct("cos", "other")), asc=False)
-    return found.groupBy("id").agg(F.slice(F.array_distinct(F.transform(ranked, lambda r: r["other"])), 1, k).alias("others"))
+            h = np.frombuffer(np.ascontiguousarray(unit[:, :4]).tobytes(), np.uint32).reshape(-1, 4).astype(np.int64) @ np.array([1, 3, 7, 31])
+            for j in range(asked):
+                cell = near[:, j]
+                split, block = h % splits[cell], h // 1009 % blocks[cell]
+                # All splits for the row's block of queries; of its own cell also all blocks for its split of the index.
+                for s in range(int(splits[cell].max())):
+                    for q in range(int(blocks[cell].max())) if j == 0 else (None,):
+                        asks = (block == q) if q is not None else np.ones(len(cell), bool)
+                        indexed = (split == s) & (j == 0)
+                        to = np.flatnonzero((asks | indexed) & (s < splits[cell]) & (True if q is None else q < blocks[cell]))
+                        if len(to):
+                            part = first[cell[to]] + s * blocks[cell[to]] + (block[to] if q is None else q)
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(to)), pa.array(part.astype(np.int32)), pa.array(indexed[to]), pa.array(asks[to]), pa.array(vs[to], pa.binary())], ["id", "part", "indexed", "asks", "v"])
+
+    sent = base.mapInArrow(emit, "id string, part int, indexed boolean, asks boolean, v binary").repartitionById(int(first[-1]), "part")
+    return sent.mapInArrow(_search(axes, dim, k), "id string, others array<string>, cos array<float>")
+
+
+def nearest(df: DataFrame, key: str = "id", vector: str = "vector", dim: int = DIM, k: int = K) -> DataFrame:
+    """(id, others ARRAY<STRING>): for every id with a usable vector the ids of the ``k`` vectors of highest cosine
+    that the probes meet, best first (ties: larger id first).
+
+    Vectors that are null, zero, not of ``dim`` numbers or hold nulls, NaN or infinities take no part. An id
+    delivered several times is one id. Ids with equal vectors are nearest to each other. Fewer than k others are given
+    where fewer are met; an id without any gives no row, nor does an empty table. Other columns are ignored.
+    """
+    v = F.col("v")
+    base = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(v, dim) & F.forall(v, lambda x: F.abs(x) < F.lit(float("inf"))))
+    keyed = base.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    # Ids that share a vector: the largest stands for them.
+    shared = written(keyed.groupBy("h1", "h2").agg(F.max("id").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("least <> rep").drop("least"))
+    few = small(shared)
+    members = written(keyed.select("h1", "h2", "id").join(few, ["h1", "h2"]).select("id", "rep").distinct())
+    alone = keyed.join(few, ["h1", "h2"], "left").where("rep IS NULL OR rep = id").select("id", "v")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("id")))
+    # Of those that share a vector only the largest k + 1 can be among the best of any id.
+    stand = written(members.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids")))
+    met = _spread(alone, df.count(), dim, k)
+    if met is None:
+        met = df.sparkSession.createDataFrame([], "id string, others array<string>, cos array<float>")
+    best = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("cos", "others"))), asc=False)), 1, k)
+    near = met.groupBy("id").agg(best.alias("b")).select(F.col("id").alias("rep"), F.explode("b").alias("b")).select("rep", "b.cos", F.col("b.others").alias("other"))
+    near = near.join(stand.withColumnRenamed("rep", "other"), "other", "left").select("rep", F.explode(F.coalesce("ids", F.array("other"))).alias("other"), "cos")
+    own = stand.select("rep", F.explode("ids").alias("other"), F.lit(2.0).cast("float").alias("cos"))  # before all others
+    ranked = near.unionByName(own).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("cos", "other")), asc=False).alias("r"))
+    named = ranked.join(members.select("rep", "id"), "rep", "left").withColumn("id", F.coalesce("id", "rep"))
+    others = F.slice(F.filter(F.transform("r", lambda r: r["other"]), lambda o: o != F.col("id")), 1, k)
+    return named.select("id", others.alias("others")).where(F.size("others") > 0).groupBy("id").agg(F.first("others").alias("others"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from itertools import combinations
@@ -100,8 +101,17 @@ def vectors(n, seed=0, dim=knn.DIM):
     return x.astype(np.float32)
 
 
+def recall_of(got, ids, x):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, 1)[:, :5]
+    return sum(ids[j] in got.get(ids[i], ()) for i in range(len(ids)) for j in top[i]) / (5 * len(ids))
+
+
 def test_recall_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(knn, "TASK_ROWS", 300)  # leading bits and split tasks at a small size
+    for name, n in (("CELL_ROWS", 100), ("TASK_ROWS", 60), ("TASK_QUERIES", 90)):  # cells, several indexes and blocks of queries at a small size
+        monkeypatch.setattr(knn, name, n)
     x = vectors(1000)
     x[:300] = x[0] + 0.05 * np.random.default_rng(5).normal(size=(300, knn.DIM))  # a hot group
     rows = [(f"v{k:04d}", [float(y) for y in v], 1) for k, v in enumerate(x)]
@@ -109,15 +119,41 @@ def test_recall_and_edges(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, vector array<float>, others int")
     got = {r["id"]: r["others"] for r in knn.nearest(df).collect()}
     assert set(got) == {f"v{k:04d}" for k in range(1000)}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    top = np.argsort(-s, 1)[:, :5]
-    hit = sum(f"v{j:04d}" in got[f"v{i:04d}"] for i in range(1000) for j in top[i])
-    assert hit >= 0.9 * 5000
+    assert recall_of(got, [f"v{k:04d}" for k in range(1000)], x) >= 0.97
     assert all(len(o) == len(set(o)) <= 5 and i not in o for i, o in got.items())
 
 
+@pytest.mark.parametrize("cells", [1, 8, 128, 1000])
+def test_recall_by_number_of_cells(spark, monkeypatch, cells):
+    """The recall of tables with as many cells (16 thousand, 130 thousand, 2 million and 16 million rows), on real vectors."""
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    df = spark.read.parquet(f"{d}/docs.parquet")
+    monkeypatch.setattr(knn, "CELL_ROWS", -(-df.count() // cells))
+    rows = {r["id"]: r["vector"] for r in df.select("id", "vector").collect() if r["vector"] is not None and len(r["vector"]) == knn.DIM}
+    x = np.array(list(rows.values()), np.float32)
+    good = np.isfinite(x).all(1) & (np.abs(x).sum(1) > 0)
+    got = {r["id"]: r["others"] for r in knn.nearest(df).collect()}
+    assert recall_of(got, np.array(list(rows))[good], x[good]) >= 0.97
+
+
+def test_equal_vectors(spark):
+    """A third of all rows share one vector: each is nearest to the largest others, all get a row, others find them too."""
+    x = vectors(200)
+    rows = [(f"v{k:04d}", [float(y) for y in (x[0] if k < 70 else x[k])]) for k in range(200)]
+    got = {r["id"]: r["others"] for r in knn.nearest(spark.createDataFrame(rows + rows[:80], "id string, vector array<float>")).collect()}
+    assert set(got) == {r[0] for r in rows}
+    want = [f"v{k:04d}" for k in range(69, 63, -1)]
+    assert all(got[f"v{k:04d}"] == [w for w in want if w != f"v{k:04d}"][:5] for k in range(70))
+
+
+def test_twelve_bits():
+    x = np.random.default_rng(1).normal(size=(50, 7)).astype(np.float32)
+    whole = knn.unpacked(knn.packed(x), 7)
+    assert np.abs(whole / 2047 * np.abs(x).max(1, keepdims=True) - x).max() <= np.abs(x).max() / 4000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_few_vectors(spark, n):
     rows = [(f"v{k}", [float(k + 1)] * knn.DIM) for k in range(n)]
