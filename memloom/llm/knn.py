@@ -79,7 +79,7 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
 
 def asked_cells(cells: int) -> int:
     """In how many cells a vector asks."""
-    return min(cells, max(2, math.ceil(math.log2(max(1, cells))) - 5))
+    return min(cells, max(2, math.ceil(math.log2(max(1, cells))) - 3))
 
 
 def packed(unit: np.ndarray) -> np.ndarray:
@@ -188,11 +188,19 @@ def _search(axes, dim: int, k: int):
 def _spread(base: DataFrame, rows: int, dim: int, k: int) -> DataFrame | None:
     """(id, others, cos): for every row of ``base`` (id, v) and each cell in which it asks the best rows met; None if there is no vector."""
     spark = base.sparkSession
-    drawn = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    x = matrix(drawn["v"], dim) if drawn.num_rows else np.empty((0, dim), np.float32)
-    x = np.unique(x[~np.isnan(x[:, 0])], axis=0)
-    if not len(x):
+    share = min(1.0, SAMPLE / max(1, rows))
+    drawn = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, round(share * (1 << 20)))).limit(2 * SAMPLE)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = matrix(b.column("v"), dim)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed(m[~np.isnan(m[:, 0])])], pa.binary())], ["v"])
+
+    drawn = drawn.mapInArrow(pack, "v binary").toArrow()["v"].to_pylist()
+    if not drawn:
         return None
+    x = unpacked(np.frombuffer(b"".join(drawn), np.uint8).reshape(len(drawn), -1), dim).astype(np.float32)
+    x = np.unique(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1), axis=0)
     x = x[np.random.default_rng(8).permutation(len(x))]
     centroids = fit_cells(x, min(MOST_CELLS, max(1, math.ceil(rows / CELL_ROWS))))
     axes = fit_rotation(x[:ROTATION_SAMPLE], min(dim // TABLES, LOW_BITS) * TABLES)

@@ -1,29 +1,28 @@
-"""Personal data in free text: found by typed patterns, replaced by placeholders or by keyed surrogates.
+"""Personal data in free text: found by typed patterns, replaced by placeholders or by keyed surrogates (``surrogates``).
 
-Placeholders such as ``[EMAIL]`` leave all other text unchanged. Surrogates are made from a keyed hash of the
-passage: the same person or number gets the same surrogate everywhere, of the same type, format, script and
-gender; surrogates that collide are found by grouping over the whole corpus and made again with another salt, so
-different passages stay different.
+Numbers and addresses are told by their form and the words before them. Names are told by a known given name, or by their shape (two
+to four capitalised words, or family name, comma, given name) where the words around them speak of a person: a title or label before, a
+phrase of living, writing or being reached after, an address of mail made of the same name, or a row of names of which one is sure.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from memloom.session import table, written
+from memloom.session import table
 
 KINDS = ("email", "national_id", "phone", "street", "name")
 
-# Common given names of several languages by gender (fixed values).
+# Common given names of several languages by gender; names that are not among them are told by their surroundings.
 FEMALE = (
     "Agnès Alice Amelia Amina Ana Andrea Anna Anne Ayşe Barbara Beatriz Birgit Camille Carla Carmen Caroline Charlotte Chloé Christine Clara Claudia Diana Elena Elisabeth "
     "Elizabeth Emily Emma Eva Fatima Fiona Frida Grace Greta Hannah Helena Helga Ingrid Irina Isabel Jana Jane Jennifer Jessica Julia Karen Katharina Katrin Laura Leila "
@@ -41,7 +40,8 @@ _SMALL = "The|This|That|These|Those|A|An|And|But|Or|If|In|On|At|It|Its|We|I|He|S
 _UP, _LOW = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽ", r"a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļłńņňōőœŕřśşšţťūůűųźżž"
 _PLAIN = rf"(?:(?:[Vv]an|[Vv]on|[Zz]u|[Dd]er|[Dd]en) )*(?:Mc|Mac|O['’]|D['’])?[{_UP}][{_UP}{_LOW}]+(?:[-’'][{_UP}][{_UP}{_LOW}]+)*"
 _FAMILY = rf"(?:(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]i|[Dd]a|[Dd]el|[Ll]a|[Ll]e|[Zz]u) )*(?:Mc|Mac|O['’]|D['’])?[{_UP}][{_UP}{_LOW}]+(?:[-’'][{_UP}][{_UP}{_LOW}]+)*"
-_given = sorted({n for n in FEMALE + MALE} | {n.upper() for n in FEMALE + MALE}, key=len, reverse=True)
+_plain = {"".join(c for c in unicodedata.normalize("NFKD", n) if not unicodedata.combining(c)) for n in FEMALE + MALE}
+_given = sorted({n for n in (*FEMALE, *MALE, *_plain)} | {n.upper() for n in (*FEMALE, *MALE, *_plain)}, key=len, reverse=True)
 _GIVEN = rf"(?:{'|'.join(_given)})(?:-(?:{'|'.join(_given)}))?(?![\w])"
 GIVEN = re.compile(rf"(?<![\w.@+-]){_GIVEN}")
 _AFTER = re.compile(rf"(?: [{_UP}]\.?)* {_FAMILY}(?![\w@]|-\w)")
@@ -50,6 +50,31 @@ _TAIL = re.compile(rf"(?: [{_UP}]\.)?(?![\w@])")
 INITIAL = re.compile(rf"(?<![\w.@-])[{_UP}]\. ?(?:[{_UP}]\. ?)*(?!(?:{_SMALL})\b){_FAMILY}(?![\w@]|-\w)")
 FAMILY_INITIAL = re.compile(rf"(?<![\w.@-])({_PLAIN}), [{_UP}]\.(?: ?[{_UP}]\.)*(?!\w)")
 
+# Names by shape and surroundings.
+_WORD = rf"(?:(?:Mc|Mac|O['’]|D['’])?[{_UP}][{_LOW}]+(?:[-’'][{_UP}][{_LOW}]+)*)"
+_LINK = r"(?:[Vv]an|[Vv]on|[Dd]e|[Dd]er|[Dd]en|[Dd]i|[Dd]a|[Dd]el|[Dd]os|bin|al|[Ll]a|[Zz]u)"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Srta|Don|Doña|Doctor|Professor)"
+SHAPE = re.compile(rf"(?<![\w.@+'’-])(?!{_TITLE}\b){_WORD}(?:(?: [{_UP}]\.)* (?:{_LINK} )*{_WORD}){{1,3}}(?![\w@]|-\w)|(?<![\w.@+'’-]){_WORD}, {_WORD}(?: [{_UP}]\.)?(?![\w@]|-\w)")
+#: Words with which no name begins or ends (places, days and months are those of the languages read).
+_NO_NAME = re.compile(
+    rf"(?:{_SMALL}|\w+ly|Lake|Mount|Port|Fort|New|North|South|East|West|Saint|Project|Team|Plan|Version|Chapter|Section|Figure|Table|Part|Page|Dear|Hello|Hi|Thanks|Please|Best|Kind|Re|"
+    r"Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|"
+    r"Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember|"
+    r"Street|Road|Lane|Avenue|Drive|Square|University|Company|Inc|Ltd|Bank|Hotel|Hospital|School|City|River|Bridge|Station|User|Assistant|System)$"
+)
+BEFORE_PERSON = re.compile(
+    rf"(?:\b{_TITLE}\.? "
+    r"|(?i:\b(?:name|author|owner|contact|reviewer|from|attn|sender|recipient|assignee|customer|patient|employee|kunde|kontakt|autor|ansprechpartner(?:in)?|nom|auteur|nombre|cliente?)\"? ?[:=] ?\"?)"
+    r"|(?i:\b(?:signed by|written by|my name is|ich hei(?:ß|ss)e|mein name ist|je m'appelle|me llamo|mi nombre es|(?:regards|sincerely|gr(?:ü|ue)(?:ß|ss)en?|cordialement|saludos),?)\s+))$"
+)
+AFTER_PERSON = re.compile(
+    r",? (?:who )?(?:lives?|lived|can be reached|was born)\b|,? (?:ist unter|wohnt|geboren am)\b|,? (?:répond au|habite|né le|née le)\b|,? (?:atiende en|vive en|nació)\b|,? ?[<(|] ?[\w.+-]+@| \(ID\b"
+)
+PERSON_DOES = re.compile(r" (?:met|said|says|asked|told|wrote|writes|replied|thinks|thought|joined|agreed|sagte|schrieb|fragte|meinte|a dit|a écrit|dijo|escribió)\b")
+DONE_TO_PERSON = re.compile(r"\b(?:met|asked|told|called|emailed|thanked|saw|visited) $")
+_MAIL = re.compile(r"[\w.+-]*(?:@|\s?[\[({]\s?at\b)")
+_BETWEEN = frozenset((", ", " and ", ", and ", " & ", " und ", " et ", " y "))
+
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|point|punto|DOT|Dot)\s?[\])}]\s?|\s(?:dot|DOT)\s)"
 # The sign first, then the local part to its left and the domain to its right.
 AT = re.compile(r"@|＠|&#64;|\s?[\[({]\s?(?:at|AT|At|@|arroba|arobase)\s?[\])}]\s?|\s(?:at|AT)\s(?=[\w-]+(?:\s(?:dot|DOT)\s[\w-]+)+)|\s@\s(?=[\w-]+\.\w)")
@@ -118,7 +143,7 @@ def _ranges(text: str) -> Iterator[tuple[str, int, int]]:
     for hints, street in STREETS:
         if any(h in text for h in hints):
             yield from (("street", *m.span()) for m in street.finditer(text))
-    families = set()
+    families, sure = set(), []
     for m in () if _GIVEN_SET.isdisjoint(_WORDS.findall(text)) else GIVEN.finditer(text):
         before = _BEFORE.search(text, max(0, m.start() - 60), m.start())
         after = _AFTER.match(text, m.end())
@@ -126,14 +151,56 @@ def _ranges(text: str) -> Iterator[tuple[str, int, int]]:
             own = after is not None and not _known(text, before)
             if not own:
                 families.add(before[0].rstrip(", "))
-                yield "name", before.start(), _TAIL.match(text, m.end()).end()
+                sure.append((before.start(), _TAIL.match(text, m.end()).end()))
+                yield "name", *sure[-1]
                 continue
         if after:
             families.add(re.split(r" [^ ]\.? ", after[0])[-1].strip())
-            yield "name", m.start(), after.end()
-    yield from (("name", *m.span()) for m in INITIAL.finditer(text))
+            sure.append((m.start(), after.end()))
+            yield "name", *sure[-1]
+    initials = [m.span() for m in INITIAL.finditer(text)]
+    yield from (("name", *x) for x in initials)
     if families:
         yield from (("name", *m.span()) for m in FAMILY_INITIAL.finditer(text) if m[1] in families)
+    yield from (("name", *x) for x in _shaped(text, [*sure, *initials]))
+
+
+def _in_mail(family: str, after: str) -> bool:
+    """Whether an address of mail in the text that follows is made of the family name."""
+    if len(family) < 4 or not ("@" in after or "at" in after):
+        return False
+    low = after.lower()
+    at = low.find(family)
+    return at >= 0 and _MAIL.match(low, at + len(family)) is not None
+
+
+def _shaped(text: str, sure: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names by shape whose surroundings speak of a person, and those in a row with a sure one."""
+    rows: list[list[tuple[int, int, bool]]] = []
+    spans = sorted([(*m.span(), False) for m in SHAPE.finditer(text) if not any(m.start() < b and a < m.end() for a, b in sure)] + [(a, b, True) for a, b in sure])
+    for a, b, known in spans:
+        if not known:
+            words = _WORDS.findall(text, a, b)
+            if _NO_NAME.match(words[0]) or _NO_NAME.match(words[-1]):
+                continue
+        if rows and text[rows[-1][-1][1] : a] in _BETWEEN:
+            rows[-1].append((a, b, known))
+        else:
+            rows.append([(a, b, known)])
+    for row in rows:
+        if all(known for _, _, known in row):
+            continue
+        first, last = row[0][0], row[-1][1]
+        whole = any(known for _, _, known in row) or (PERSON_DOES.match(text, last) and "," not in text[row[-1][0] : last] and (len(row) > 1 or not first or text[first - 1] in "\n\"(" or text[first - 2] in ".!?:;,")) or DONE_TO_PERSON.search(text, max(0, first - 12), first)
+        for a, b, known in row:
+            comma = "," in text[a:b]
+            if not known and (
+                (whole and not comma)
+                or BEFORE_PERSON.search(text, max(0, a - 40), a)
+                or AFTER_PERSON.match(text, b)
+                or (not comma and _in_mail(_WORDS.findall(text, a, b)[-1].lower(), text[b : b + 120]))
+            ):
+                yield a, b
 
 
 def _known(text: str, before: re.Match) -> bool:
@@ -161,15 +228,21 @@ def redacted(text: str) -> str:
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, kind, t[lo:hi]) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for kind, lo, hi in found_in(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["id", "kind", "passage"])
+        rows = [(i, h, kind, lo, hi, t[lo:hi]) for i, h, t in zip(*(b.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True) for kind, lo, hi in found_in(t)]
+        types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "hash", "kind", "start", "end", "passage"])
+
+
+def located(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """(id, hash, kind, start, end, passage) of every passage, with its place and the hash of its text; null and empty texts
+    hold none, repeated rows give repeated passages, other columns are ignored. ``kind``: one of ``KINDS``."""
+    base = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0).withColumn("hash", F.xxhash64("text"))
+    return base.mapInArrow(_detect, "id string, hash long, kind string, start int, end int, passage string")
 
 
 def personal_data(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """(id, kind, passage) of every passage; null and empty texts hold none, repeated rows give repeated passages,
-    other columns are ignored. ``kind``: one of ``KINDS``."""
-    base = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    return base.mapInArrow(_detect, "id string, kind string, passage string")
+    """(id, kind, passage) of every passage."""
+    return located(df, key, text).select("id", "kind", "passage")
 
 
 @F.pandas_udf(StringType())
@@ -178,64 +251,26 @@ def redact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: redacted(t) if t else t)
 
 
-def surrogate(kind: str, passage: str, key: str, salt: int = 0) -> str:
-    """A replacement of the same kind and format, the same for the same letters and digits of the passage."""
-    core = "".join(c for c in passage.lower() if c.isalnum())
-    stream = hmac.new(key.encode(), f"{kind}|{core}|{salt}".encode(), hashlib.sha256).digest()
-    pick = lambda k, of: of[int.from_bytes(stream[2 * k : 2 * k + 4], "big") % len(of)]
-    if kind == "email":
-        return f"{pick(0, MALE + FEMALE).lower()}.{int.from_bytes(stream[8:13], 'big'):010d}@example.org".encode("ascii", "ignore").decode()
-    if kind == "name":
-        of = FEMALE if any(w.title() in FEMALE for w in re.findall(r"[^\W\d_]+", passage)) else MALE
-        # A family name from syllables, so that names don't run out.
-        family = "".join(pick(k, ("bar", "del", "fen", "gor", "hal", "kem", "lor", "mir", "nor", "pol", "ras", "sil", "tor", "ven", "wes", "zan")) for k in range(3, 7)).title()
-        family, given = (family.upper(), pick(0, of).upper()) if passage.isupper() else (family, pick(0, of))
-        return f"{family}, {given}" if "," in passage else f"{given} {family}"
-    out = []
-    for k, c in enumerate(passage):
-        b = hmac.new(stream, bytes([k % 256]), hashlib.sha256).digest()[0]
-        if c.isdigit():
-            out.append(str(b % 10))
-        elif c.isalpha() and kind == "national_id":
-            out.append(chr(ord("A") + b % 26))
-        else:
-            out.append(c)
-    return "".join(out)
-
-
-def surrogates(passages: DataFrame, key: str) -> DataFrame:
-    """(kind, found, surrogate): one surrogate for each distinct (kind, found), all different within a kind.
-
-    ``passages``: kind, passage. ``key``: the secret. Where two entities get the same surrogate, all but the first
-    are made again with the next salt, until none collides.
-    """
-
-    @F.pandas_udf("string")
-    def made(kind: pd.Series, passage: pd.Series, salt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, p, key, int(s)) for k, p, s in zip(kind, passage, salt, strict=True)], dtype=object)
-
-    todo = passages.select("kind", normal(F.col("passage")).alias("found"), "passage").groupBy("kind", "found").agg(F.min("passage").alias("passage")).withColumn("salt", F.lit(0))
-    done = None
-    for salt in range(1, 50):
-        new = todo.withColumn("surrogate", made("kind", "passage", "salt"))
-        both = new.withColumn("old", F.lit(1)) if done is None else new.withColumn("old", F.lit(1)).unionByName(done.withColumn("old", F.lit(0)))
-        # Only rows whose surrogate isn't unique meet in a window.
-        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("old", "found")))
-        ranked = written(ranked)
-        done, todo = ranked.where("rank = 1").drop("rank", "old"), ranked.where("rank > 1").drop("rank", "old", "surrogate").withColumn("salt", F.lit(salt))
-        if todo.isEmpty():
-            break
-    return done.select("kind", "found", "surrogate")
-
-
 def normal(passage):
     """Lower case, letters and digits only."""
     return F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]", "")
 
 
+def secret_of(spark: SparkSession) -> str:
+    """The key of the surrogates: the setting ``memloom.surrogates.key``, or one drawn for this session."""
+    key = spark.conf.get("memloom.surrogates.key", None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set("memloom.surrogates.key", key)
+    return key
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of personal data in the entities' contents."""
-    return personal_data(table(spark, sf_dir, "entities")).select("id", "kind", normal(F.col("passage")).alias("found")).distinct()
+    """Every passage of personal data in the entities' contents that has a surrogate (all have)."""
+    from memloom.llm.surrogates import replacements
+
+    r = replacements(table(spark, sf_dir, "entities"), secret_of(spark)).where("surrogate IS NOT NULL")
+    return r.select("id", "kind", normal(F.col("passage")).alias("found")).distinct()
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,5 +279,14 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyed surrogate for every passage found."""
-    return surrogates(personal_data(table(spark, sf_dir, "entities")), "a key the caller keeps")
+    """A keyed surrogate for every distinct passage found."""
+    from memloom.llm.surrogates import surrogates
+
+    return surrogates(personal_data(table(spark, sf_dir, "entities")), secret_of(spark))
+
+
+def p6_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contents with surrogates in place of personal data."""
+    from memloom.llm.surrogates import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "entities"), secret_of(spark))

@@ -13,6 +13,7 @@ QUERIES = {
     "p6_found": pii.p6_found,
     "p6_redacted": pii.p6_redacted,
     "p6_surrogates": pii.p6_surrogates,
+    "p6_pseudonymised": pii.p6_pseudonymised,
     "p7_found": leak.p7_found,
     "p7_report": leak.p7_report,
     "p8_selection": mix.p8_selection,
