@@ -153,7 +153,8 @@ def _shifted(text: str, secret: str, *of: str) -> str:
         by = int.from_bytes(_draw(secret, *of, text[:k])[:4], "big")
         if c.isdigit():
             n = int(c)
-            out.append(str(n if k == 0 and n == 0 else (n - 1 + by) % 9 + 1 if k == 0 else (n + by) % 10))
+            count = k == 0 and of[0] == "digits"  # a count such as a house number begins with no zero
+            out.append(str(n if count and n == 0 else (n - 1 + by) % 9 + 1 if count else (n + by) % 10))
         elif c.isascii() and c.isalpha():
             out.append(chr((ord(c.upper()) - 65 + by) % 26 + 65))
         else:
