@@ -390,3 +390,36 @@ def test_same_rows(spark, sf_dir, name):
 def test_runs(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.columns and df.count() >= 0
+
+
+# Held out: none of these is among the profiles' examples.
+HELD_OUT_PROSE = [
+    "Revenue rose 14% to $3.2 billion in Q3 2023, up from $2.8 billion a year earlier, the company said.", "Brandon Carter, Kwame Mensah and Priyanka Sharma met Wei Zhang in Boston.", "i dont know if we can make it on friday but lets try anyway",
+    "The committee, which had met twice before, could not agree on a date for the next hearing.", "She said that **nothing** had changed since *March*, and that it would stay so.", "WE ARE CLOSED ON MONDAYS BECAUSE THE STAFF NEEDS A DAY OFF.",
+    "User: how do I reset it?\nAssistant: Hold the button for five seconds, then let go.", "Als der Regen endlich aufhörte, gingen die Kinder noch einmal zum See hinunter.", "Le maire a promis que les travaux seraient finis avant la fin de l'année.",
+    "La vecina del tercero nos contó que el ascensor llevaba dos semanas sin funcionar.", "昨日の会議では新しい予算について長い時間話し合いました。", "> We never got\n> an answer to the letter that we sent\n> in the first week of the year.",
+    "Between 1998 and 2004 the town lost about 3,000 of its 21,000 inhabitants.", "Yes, I think so. Ask her tomorrow.", "Dr. Okafor wrote to Ingeborg Lindqvist that the samples from Lagos had arrived on Thursday.",
+]
+HELD_OUT_OTHER = [
+    "- milk\n- bread\n- two onions\n- candles", "1. Preheat\n2. Mix\n3. Bake\n4. Cool", "| city | pop |\n|---|---|\n| Oslo | 709037 |\n| Bergen | 291940 |", "date;amount;currency\n2024-01-02;19.90;EUR\n2024-01-05;7.25;USD", "name\tage\tcity\nana\t31\tlugo\nbo\t44\tlund",
+    "Jan 03 11:02:33 host7 sshd[812]: Failed password for root from 10.2.3.4 port 22\n2024-01-03 11:02:35,120 WARN pool-3 retry=2 code=502 in 88ms", "import os\n\nfor f in os.listdir(d):\n    if f.endswith('.tmp'):\n        os.remove(f)\n    else:\n        continue",
+    "function add(a, b) {\n  return a + b;\n}\nconst x = add(1, 2);", "SELECT a.id, sum(b.v) FROM a JOIN b ON a.id = b.a_id\nWHERE b.ts > '2024-01-01'\nGROUP BY a.id;", '{"server": {"port": 8080, "tls": false},\n "paths": ["/a", "/b"]}', "[db]\nhost = 10.0.0.1\nport = 5432\nuser = app",
+    "Home | Products | Pricing | Blog | Contact | Login", "#sunset #beach #holiday2023 #nofilter #friends", "stone tree stone 44 glass tree stone glass glass 44 stone tree tree glass stone", "cup, spoon, cup, cup, 88, plate, spoon, spoon, cup, 88, plate, cup", "=+=+=+=+=+=+=+=+ab12\n%%%%%%%%%%%%%%%%%%%%%%%",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBub3QgcHJvc2UgYXQgYWxsIGp1c3QgYnl0ZXM=",
+]
+
+
+def test_held_out_accuracy():
+    own = quality.Classifier()
+    wrong = [t for t in HELD_OUT_PROSE if own.text(t)[1] > 0.5] + [t for t in HELD_OUT_OTHER if own.text(t)[1] <= 0.5]
+    assert not [t for t in HELD_OUT_PROSE[:2] if t in wrong]
+    assert len(wrong) <= 0.07 * len(HELD_OUT_PROSE + HELD_OUT_OTHER), wrong
+
+
+def test_one_pass_over_the_texts(spark, tmp_path):
+    rows = [(1, "The old door was open, and nobody knew why.", "x"), (2, None, "x"), (3, "", "x"), (4, "a,b,c\n1,2,3\n4,5,6", "x"), (4, "a,b,c\n1,2,3\n4,5,6", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, profile string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = quality.p9_profiles(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["doc_id"]: (r["word_count"], r["is_prose"]) for r in out.collect()}
+    assert got == {1: (9, True), 2: (0, True), 3: (0, True), 4: (9, False)}
