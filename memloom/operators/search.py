@@ -7,7 +7,7 @@ never shuffled. Filters come before the top k. Every ranking ends with the id.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.session import written
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 TIERS = [0.40, 0.25, 0.15, 0.08, 0.04]
 
@@ -23,29 +25,50 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def term_stats(df: DataFrame, terms: list[str], text: str = "content", prefix: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``dl`` and a count ``tf_i`` for each term, and one row of statistics (n, avgdl, df_i)."""
+def term_stats(df: DataFrame, terms: list[str], text: str = "content", prefix: bool = False) -> DataFrame:
+    """``df`` without its text and with ``dl`` and a count ``tf_i`` for each term, one row for equal other columns: texts
+    are read once and only numbers are moved."""
     t = df.withColumn("_tok", tokens(F.coalesce(F.col(text), F.lit(""))))
     hit = lambda q: (lambda x: F.startswith(x, F.lit(q))) if prefix else (lambda x: x == q)
-    t = t.select(*df.columns, F.size("_tok").alias("dl"), *(F.size(F.filter("_tok", hit(q))).alias(f"tf_{i}") for i, q in enumerate(terms)))
-    stats = t.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf_{i}") > 0).cast("double")).alias(f"df_{i}") for i in range(len(terms))))
-    return t, stats
+    keys = [c for c in df.columns if c != text]
+    t = t.select(*keys, F.size("_tok").alias("dl"), *(F.size(F.filter("_tok", hit(q))).alias(f"tf_{i}") for i, q in enumerate(terms)))
+    return t.groupBy(*keys).agg(*(F.max(c).alias(c) for c in t.columns if c not in keys))
+
+
+def corpus_stats(t: DataFrame, terms: list[str]) -> DataFrame:
+    """One row of statistics (n, avgdl, df_i)."""
+    return t.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf_{i}") > 0).cast("double")).alias(f"df_{i}") for i in range(len(terms))))
 
 
-def bm25(df: DataFrame, terms: list[str], text: str = "content", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``df`` with ``bm25`` over its own rows as the corpus; query terms count once, an empty corpus scores 0."""
+def bm25(df: DataFrame, terms: list[str], text: str = "content", k1: float = 1.5, b: float = 0.75, few: bool = False) -> DataFrame:
+    """``df`` without its text and with ``bm25`` over its own rows as the corpus; query terms count once, an empty corpus
+    scores 0. Rows that are equal but for the text count once. ``few``: ``df`` is a top k, not worth writing its counts."""
     terms = sorted(set(terms))
-    t, stats = term_stats(df, terms, text)
-    t = t.join(F.broadcast(stats))  # one row
+    t = term_stats(df, terms, text)
+    keys = [c for c in df.columns if c != text]
+    t = t if few else written(t)  # read for the statistics and for the scores
+    t = t.join(F.broadcast(corpus_stats(t, terms)))  # one row
     part = lambda i: F.log((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5) + 1.0) * F.col(f"tf_{i}") * (k1 + 1) / (F.col(f"tf_{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = reduce(lambda x, y: x + y, [F.when(F.col(f"tf_{i}") > 0, part(i)).otherwise(0.0) for i in range(len(terms))], F.lit(0.0))
-    return t.select(*df.columns, F.round(score, 6).alias("bm25"))
+    return t.select(*keys, F.round(score, 6).alias("bm25"))
+
+
+def fts_terms(query: str) -> list[str]:
+    """Prefixes that all must match, of a query in words: split at blanks and hyphens. A query that uses operators or quotation
+    marks is no list of words and is refused."""
+    words = query.split()
+    if any(w.upper() in ("AND", "OR", "NOT") or w.upper().startswith("NEAR") or w.startswith('"') for w in words):
+        raise ValueError("write operators and phrases as predicates")
+    return [x.lower().rstrip("*") for w in words for x in w.split("-") if x]
 
 
-def prefix_match(df: DataFrame, prefixes: list[str], n: int, text: str = "content") -> DataFrame:
+def prefix_match(df: DataFrame, prefixes: list[str], n: int, text: str = "content", within: Column | None = None) -> DataFrame:
     """The ``n`` best rows that hold a token for every prefix: (id, score), the inverse document frequency floored
-    at a millionth, k1 1.2, b 0.75."""
-    t, stats = term_stats(df, prefixes, text, prefix=True)
+    at a millionth, k1 1.2, b 0.75. Rows that are equal but for the text count once. ``within``: a condition on other columns that
+    the rows given must meet; the statistics are those of all rows."""
+    t = written(term_stats(df, prefixes, text, prefix=True))  # read for the statistics and for the hits
+    stats = corpus_stats(t, prefixes)
+    t = t if within is None else t.where(within)
     t = t.where(reduce(lambda x, y: x & y, [F.col(f"tf_{i}") > 0 for i in range(len(prefixes))])).join(F.broadcast(stats))  # one row
     part = lambda i: F.greatest(F.log((F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5)), F.lit(1e-6)) * F.col(f"tf_{i}") * 2.2 / (F.col(f"tf_{i}") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
     score = F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(prefixes))]), 6)
@@ -125,13 +148,13 @@ def node_boosts(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("id", "nodes", F.element_at(F.array(*map(F.lit, TIERS)), F.least(rank, F.lit(len(TIERS)))).alias("boost"))
 
 
-def hybrid(vec: DataFrame, kw: DataFrame, entities: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def hybrid(vec: DataFrame, kw: DataFrame, sources: Callable[[DataFrame], DataFrame], nodes: DataFrame, n: int) -> DataFrame:
     """Vector and keyword hits in one ranking: keyword scores are divided by their maximum, a vector hit stands for
-    an id that both have, node boosts are added: (id, score, boost)."""
+    an id that both have, node boosts are added: (id, score, boost). ``sources`` adds source_file to hits (id)."""
     top = F.max("score").over(Window.partitionBy())  # over the hits, a top k
     k = kw.select("id", F.round(F.col("score") / top, 6).alias("score")).join(vec, "id", "left_anti")
     hits = vec.select("id", F.col("similarity").alias("score")).unionByName(k)
-    named = hits.join(entities.select("id", "source_file"), "id")
+    named = sources(hits.select("id"))
     boosts = node_boosts(named, nodes).select("id", "boost")
     total = F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6)
     return hits.join(boosts, "id", "left").select("id", total.alias("score"), F.coalesce("boost", F.lit(0.0)).alias("boost")).orderBy(F.desc("score"), "id").limit(n)
@@ -140,7 +163,7 @@ def hybrid(vec: DataFrame, kw: DataFrame, entities: DataFrame, nodes: DataFrame,
 def hybrid_rank(hits: DataFrame, terms: list[str], n: int, vector_weight: float = 0.6, keyword_weight: float = 0.4) -> DataFrame:
     """Hits (id, distance, content) ranked by weighted similarity and BM25 among the hits; a null distance counts as no
     similarity."""
-    s = bm25(hits, terms)
+    s = bm25(hits, terms, few=True)
     most = F.max("bm25").over(Window.partitionBy())  # over the hits, a top k
     near = F.greatest(F.lit(0.0), 1.0 - F.coalesce("distance", F.lit(1.0)))
     score = vector_weight * near + keyword_weight * F.when(most > 0, F.col("bm25") / most).otherwise(0.0)

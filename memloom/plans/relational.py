@@ -51,7 +51,7 @@ def domain_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH} SELECT realm, domain, count(*) AS entities FROM ents GROUP BY ROLLUP (realm, domain)")
 def taxonomy(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).rollup("realm", "domain").agg(F.count(F.lit(1)).alias("entities"))
+    return table(spark, d, "entities").select("id", "realm", "domain").distinct().rollup("realm", "domain").agg(F.count(F.lit(1)).alias("entities"))
 
 
 @query(f"{WITH} SELECT (SELECT count(*) FROM ents) AS entities, (SELECT count(*) FROM nods) AS nodes, (SELECT count(*) FROM realms) AS realms, (SELECT count(*) FROM domains) AS domains, (SELECT count(DISTINCT id) FROM docs) AS vectors")
@@ -140,12 +140,12 @@ def valid_subject_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{WITH} SELECT CASE WHEN coalesce(source_file, '') = '' THEN 'unknown' ELSE source_file END AS source, count(*) AS n FROM ents GROUP BY 1 HAVING count(*) >= 5")
 def source_groups(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(F.coalesce("source_file", F.lit("")) == "", "unknown").otherwise(F.col("source_file"))
-    return entities(spark, d).groupBy(s.alias("source")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return table(spark, d, "entities").select("id", "source_file").distinct().groupBy(s.alias("source")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 
 
 @query(f"{WITH} SELECT count(*) AS sources, sum(n)::BIGINT AS entities, sum(floor(n * 0.4::DOUBLE))::BIGINT AS expected_duplicates FROM (SELECT source_file, count(*) AS n FROM ents WHERE source_file <> '' GROUP BY 1 HAVING count(*) > 20)")
 def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
-    n = entities(spark, d).where("source_file <> ''").groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+    n = table(spark, d, "entities").where("source_file <> ''").select("id", "source_file").distinct().groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
     return n.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("entities"), F.sum(F.floor(F.col("n") * F.lit(0.4))).alias("expected_duplicates"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import search as S
 from memloom.session import table
-from memloom.sources.tables import WITH, entities, keep_one, meta, meta_sql, nodes
+from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
 QUERIES, SQL = {}, {}
 TERMS = ["nightly", "ledger", "archive"]
@@ -28,13 +28,25 @@ def query(sql: str | None = None):
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """One row per id of docs: id, text, metadata, vector."""
-    return keep_one(table(spark, d, "docs").where(S.usable(F.col("vector"), DIM)), "id", "metadata", "faiss_id")
+    """Usable rows of docs as delivered: id, metadata, vector. Deliveries of an id don't differ, so scores are taken of all rows and
+    brought to one an id afterwards."""
+    return table(spark, d, "docs").where(S.usable(F.col("vector"), DIM))
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the entities as delivered: id, content; the keyword operators count an id once."""
+    return table(spark, d, "entities").select("id", "content")
+
+
+def of_hits(hits: DataFrame, spark: SparkSession, d: str, *columns: Column | str) -> DataFrame:
+    """The hits, a top k, with columns of their entities (such as don't differ between deliveries)."""
+    e = table(spark, d, "entities").select("id", *columns)
+    return e.join(F.broadcast(hits), "id").dropDuplicates(["id"])
 
 
 def probe(spark: SparkSession, d: str) -> list[float]:
     """The query vector: that of the least id."""
-    return list(vectors(spark, d).orderBy("id").limit(1).select("vector").first()[0])
+    return list(vectors(spark, d).agg(F.min_by("vector", "id")).first()[0])
 
 
 _TOK = "regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}_]{2,}')"
@@ -54,7 +66,7 @@ def _bm25_sql(src: str, terms: list[str], k1: float = 1.5, b: float = 0.75) -> s
 
 @query(f"{WITH} SELECT id, bm25 FROM ({_bm25_sql('ents', TERMS)}) WHERE bm25 > 0 ORDER BY bm25 DESC, id LIMIT 10")
 def keyword_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(entities(spark, d).select("id", "content"), TERMS).where("bm25 > 0").select("id", "bm25").orderBy(F.desc("bm25"), "id").limit(10)
+    return S.bm25(contents(spark, d), TERMS).where("bm25 > 0").select("id", "bm25").orderBy(F.desc("bm25"), "id").limit(10)
 
 
 _FTS = """SELECT id, round(greatest(ln((n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)), 1e-6::DOUBLE) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) + greatest(ln((n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)), 1e-6::DOUBLE) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)), 6) AS score
@@ -63,7 +75,7 @@ _FTS = """SELECT id, round(greatest(ln((n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBL
 
 @query(f"{WITH} {_FTS} ORDER BY score DESC, id LIMIT 20")
 def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
-    return S.prefix_match(entities(spark, d).select("id", "content"), ["ledg", "arch"], 20)
+    return S.prefix_match(contents(spark, d), ["ledg", "arch"], 20)
 
 
 _OVER = "(" + " + ".join(f"contains(lower(coalesce(content, '')), '{w}')::INT" for w in WORDS) + f")::DOUBLE / {len(WORDS)}"
@@ -121,7 +133,7 @@ _BOOSTS = """boosts AS (SELECT id, n AS nodes, CASE row_number() OVER (ORDER BY
 
 @query(f"{WITH}, {_VEC}, hits AS (SELECT id FROM sims ORDER BY similarity DESC, id LIMIT 40), {_BOOSTS} SELECT id, nodes, boost FROM boosts")
 def node_boosts(spark: SparkSession, d: str) -> DataFrame:
-    hits = _vec(spark, d, 40).join(entities(spark, d).select("id", "source_file"), "id").select("id", "source_file")
+    hits = of_hits(_vec(spark, d, 40).select("id"), spark, d, "source_file")
     return S.node_boosts(hits, nodes(spark, d))
 
 
@@ -131,9 +143,8 @@ def node_boosts(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, round(score + coalesce(boost, 0), 6) AS score, coalesce(boost, 0) AS boost FROM hits LEFT JOIN boosts USING (id) ORDER BY score DESC, id LIMIT 10"""
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d)
-    kw = S.prefix_match(e.select("id", "content"), ["ledg", "arch"], 20)
-    return S.hybrid(_vec(spark, d, 20), kw, e, nodes(spark, d), 10)
+    kw = S.prefix_match(contents(spark, d), ["ledg", "arch"], 20)
+    return S.hybrid(_vec(spark, d, 20), kw, lambda hits: of_hits(hits, spark, d, "source_file"), nodes(spark, d), 10)
 
 
 _HITS30 = "hits AS (SELECT s.id, 1 - similarity AS distance, content FROM (SELECT * FROM sims ORDER BY similarity DESC, id LIMIT 30) s JOIN ents ON ents.id = s.id)"
@@ -142,7 +153,7 @@ _RANKED = "round(0.6::DOUBLE * greatest(0, 1 - coalesce(distance, 1)) + 0.4::DOU
 
 @query(f"{WITH}, {_VEC}, {_HITS30} SELECT id, round(bm25, 3) AS bm25_score, {_RANKED} FROM ({_bm25_sql('hits', TERMS)}) ORDER BY score DESC, id LIMIT 10")
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    hits = _vec(spark, d, 30).join(entities(spark, d).select("id", "content"), "id").select("id", (1 - F.col("similarity")).alias("distance"), "content")
+    hits = of_hits(_vec(spark, d, 30), spark, d, "content").select("id", (1 - F.col("similarity")).alias("distance"), "content")
     return S.hybrid_rank(hits, TERMS, 10)
 
 
@@ -156,9 +167,9 @@ _KEY = f"source_file || '::' || coalesce({meta_sql('chunk_index')}, '')"
 )
 def union_candidates(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat("source_file", F.lit("::"), F.coalesce(meta("chunk_index"), F.lit("")))
-    e = entities(spark, d).select("id", "content", F.col("source_file"), key.alias("key"))
+    e = entities(spark, d).select("id", "source_file", key.alias("key"))  # the metadata differ between deliveries
     vec = _vec(spark, d, 15).join(e.select("id", "key"), "id").select("id", F.round(1 - F.col("similarity"), 6).alias("distance"), "key")
-    kw = S.prefix_match(e.select("id", "content"), ["ledg", "arch"], 15).join(e.where("source_file <> ''").select("id", "key"), "id")
+    kw = S.prefix_match(contents(spark, d), ["ledg", "arch"], 15).join(e.where("source_file <> ''").select("id", "key"), "id")
     first = kw.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).where("k = 1").join(vec.where("key IS NOT NULL"), "key", "left_anti")
     return vec.select("id", "distance").unionByName(first.select("id", F.lit(None).cast("double").alias("distance")))
 
@@ -173,7 +184,7 @@ _CHUNK = f"TRY_CAST({meta_sql('chunk_index')} AS INT)"
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     c = entities(spark, d).select("id", "source_file", meta("chunk_index").try_cast("int").alias("chunk_index"), "content")
     chunks = c.where("source_file <> '' AND chunk_index IS NOT NULL")
-    hits = S.prefix_match(c.select("id", "content"), ["ledg", "arch"], 20).join(chunks, "id")
+    hits = S.prefix_match(contents(spark, d), ["ledg", "arch"], 20).join(chunks, "id")
     return S.with_neighbours(hits, chunks)
 
 
@@ -184,7 +195,7 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
 )
 def best_chunk_hydration(spark: SparkSession, d: str) -> DataFrame:
     c = entities(spark, d).select("id", "source_file", meta("chunk_index").try_cast("int").alias("i"), "content").where("source_file <> '' AND i IS NOT NULL")
-    src = S.prefix_match(entities(spark, d).select("id", "content"), ["ledg", "arch"], 20).join(entities(spark, d).select("id", "source_file"), "id").where("source_file <> ''").select("source_file").distinct()
+    src = of_hits(S.prefix_match(contents(spark, d), ["ledg", "arch"], 20), spark, d, "source_file").where("source_file <> ''").select("source_file").distinct()
     own = c.join(src, "source_file", "left_semi")
     # The best chunk of a source by a mergeable aggregate: a source with a tenth of all rows isn't sorted in one task.
     rank = F.struct(S.overlap(["ledger", "archive", "nightly"], F.col("content")).alias("o"), (-F.col("i")).alias("i"))
@@ -197,14 +208,14 @@ def best_chunk_hydration(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH}, {_VEC}, {_HITS30} SELECT id, round((1 - distance) * (1 + 0.5::DOUBLE * ({_OVER})), 6) AS score FROM hits ORDER BY score DESC, id LIMIT 10")
 def multiplicative_fusion(spark: SparkSession, d: str) -> DataFrame:
-    hits = _vec(spark, d, 30).join(entities(spark, d).select("id", "content"), "id")
+    hits = of_hits(_vec(spark, d, 30), spark, d, "content")
     score = F.round(F.col("similarity") * (1 + 0.5 * S.overlap(WORDS, F.col("content"))), 6)
     return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
 @query(f"{WITH}, {_VEC}, {_HITS30} SELECT id, round((1 - distance) + 0.3::DOUBLE * ({_OVER}) + 0.1::DOUBLE * contains(lower(content), 'without any warning')::INT, 6) AS score FROM hits ORDER BY score DESC, id LIMIT 10")
 def additive_fusion(spark: SparkSession, d: str) -> DataFrame:
-    hits = _vec(spark, d, 30).join(entities(spark, d).select("id", "content"), "id")
+    hits = of_hits(_vec(spark, d, 30), spark, d, "content")
     score = F.round(F.col("similarity") + 0.3 * S.overlap(WORDS, F.col("content")) + 0.1 * S.overlap(["without any warning"], F.col("content")), 6)
     return hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
@@ -214,8 +225,8 @@ def additive_fusion(spark: SparkSession, d: str) -> DataFrame:
     SELECT s.id, similarity FROM sims s JOIN ents ON ents.id = s.id JOIN rooms USING (realm, domain) ORDER BY similarity DESC, s.id LIMIT 10"""
 )
 def rooms_two_level(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d)
-    rooms = e.groupBy("realm", "domain").agg(F.round(F.avg(S.overlap(WORDS, F.col("content"))), 6).alias("o")).orderBy(F.desc("o"), "realm", "domain").limit(30)
+    e = table(spark, d, "entities").select("id", "realm", "domain", S.overlap(WORDS, F.col("content")).alias("o")).distinct()
+    rooms = e.groupBy("realm", "domain").agg(F.round(F.avg("o"), 6).alias("o")).orderBy(F.desc("o"), "realm", "domain").limit(30)
     inside = e.join(rooms, ["realm", "domain"], "left_semi").select("id")
     return S.vector_topk(vectors(spark, d).join(inside, "id", "left_semi"), probe(spark, d), 10)
 
@@ -226,13 +237,12 @@ def rooms_two_level(spark: SparkSession, d: str) -> DataFrame:
     SELECT ranked.id, bm25_score, score, realm, domain, substr(c, 1, 200) AS node_preview FROM ranked JOIN ents ON ents.id = ranked.id LEFT JOIN pre USING (source_file)"""
 )
 def search_memories(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d)
     near = _vec(spark, d, 15).withColumn("distance", 1 - F.col("similarity")).where("distance <= 0.9")
-    kw = S.prefix_match(e.select("id", "content"), ["ledg", "arch"], 15).join(near, "id", "left_anti")
-    cand = near.select("id", "distance").unionByName(kw.select("id", F.lit(None).cast("double").alias("distance"))).join(e.select("id", "content"), "id")
+    kw = S.prefix_match(contents(spark, d), ["ledg", "arch"], 15).join(near, "id", "left_anti")
+    cand = of_hits(near.select("id", "distance").unionByName(kw.select("id", F.lit(None).cast("double").alias("distance"))), spark, d, "content")
     ranked = S.hybrid_rank(cand.select("id", "distance", "content"), TERMS, 5)
     pre = nodes(spark, d).where("source_file <> ''").groupBy("source_file").agg(F.substring(F.min_by("content", "id"), 1, 200).alias("node_preview"))
-    return ranked.join(e.select("id", "realm", "domain", "source_file"), "id").join(pre, "source_file", "left").select("id", "bm25_score", "score", "realm", "domain", "node_preview")
+    return of_hits(ranked, spark, d, "realm", "domain", "source_file").join(pre, "source_file", "left").select("id", "bm25_score", "score", "realm", "domain", "node_preview")
 
 
 _TF = f"t AS (SELECT id, w, len(tok) AS dl, count(*) AS c FROM (SELECT id, tok, unnest(tok) AS w FROM (SELECT id, {_TOK} AS tok FROM ents)) GROUP BY ALL), v AS (SELECT w, count(*) AS df FROM t GROUP BY w HAVING count(*) >= 2 AND count(*) <= 0.85::DOUBLE * (SELECT count(*) FROM ents) ORDER BY df DESC, w LIMIT 32768)"
@@ -241,3 +251,31 @@ _TF = f"t AS (SELECT id, w, len(tok) AS dl, count(*) AS c FROM (SELECT id, tok,
 @query(f"{WITH}, {_TF} SELECT id, w AS term, round(c::DOUBLE / dl * (ln(((SELECT count(*) FROM ents) + 1)::DOUBLE / (df + 1)) + 1), 6) AS weight FROM t JOIN v USING (w)")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return S.tfidf(entities(spark, d).select("id", "content"))
+
+
+@query(f"{WITH} {_FTS.replace('SELECT id, len(tok)', 'SELECT id, realm, len(tok)').replace('SELECT id, ' + _TOK, 'SELECT id, realm, ' + _TOK)} AND realm = 'work' ORDER BY score DESC, id LIMIT 10")
+def keyword_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search within a realm; the filter comes before the limit, the statistics are those of the whole corpus."""
+    rows = table(spark, d, "entities").select("id", "realm", "content")
+    return S.prefix_match(rows, S.fts_terms("Ledg-arch"), 10, within=F.col("realm") == "work")
+
+
+_MODES = f"""{WITH}, {_VEC}, kw AS ({_FTS} ORDER BY score DESC, id LIMIT 20), vec AS (SELECT id, similarity FROM sims ORDER BY similarity DESC, id LIMIT 20),
+    hits AS (SELECT id, similarity AS score FROM vec UNION ALL SELECT id, round(score / (SELECT max(score) FROM kw), 6) FROM kw WHERE id NOT IN (SELECT id FROM vec)), {_BOOSTS}"""
+
+
+@query(
+    f"""{_MODES} SELECT * FROM (SELECT 'keyword' AS mode, id, score FROM kw ORDER BY score DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'vector', id, similarity FROM vec ORDER BY similarity DESC, id LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 'hybrid', id, round(score + coalesce(boost, 0), 6) AS s FROM hits LEFT JOIN boosts USING (id) ORDER BY s DESC, id LIMIT 5)"""
+)
+def search_modes(spark: SparkSession, d: str) -> DataFrame:
+    """One query in the three modes; without vectors the hybrid mode is the keyword mode and the vector mode gives nothing."""
+    kw = S.prefix_match(contents(spark, d), ["ledg", "arch"], 20)
+    n = 5
+    keyword = kw.orderBy(F.desc("score"), "id").limit(n).select(F.lit("keyword").alias("mode"), "id", "score")
+    if vectors(spark, d).limit(1).isEmpty():
+        return keyword.unionByName(keyword.withColumn("mode", F.lit("hybrid")))
+    vec = _vec(spark, d, 20)
+    best = S.hybrid(vec, kw, lambda hits: of_hits(hits, spark, d, "source_file"), nodes(spark, d), n)
+    vector = vec.orderBy(F.desc("similarity"), "id").limit(n).select(F.lit("vector").alias("mode"), "id", F.col("similarity").alias("score"))
+    return keyword.unionByName(vector).unionByName(best.select(F.lit("hybrid").alias("mode"), "id", "score"))
