@@ -9,27 +9,11 @@ import tokenize
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Keywords that route a text to a topic; the first topic of the most hits wins (fixed values).
-TOPICS = {
-    "technical": ["code", "function", "error", "index", "import", "cluster"],
-    "planning": ["plan", "schedule", "sprint", "route"],
-    "writing": ["draft", "chapter", "notebook", "journal"],
-    "archive": ["archive", "snapshot", "backup", "vault"],
-}
-#: Words that speak for a kind of memory (fixed values).
-MEMORY_TYPES = {
-    "decision": r"\b(?:decided|rather|instead|agreed|chose|keep)\b",
-    "problem": r"\b(?:fails?|lost|missing|missed|error|broken|blocked)\b",
-    "milestone": r"\b(?:closed|finally|restored|merged|released|done)\b",
-    "question": r"\?",
-    "preference": r"\b(?:prefer|would rather|remember to|please)\b",
-}
-EMOTIONS = {"curious": ["asked", "why", "open questions"], "worried": ["fails", "lost", "without any warning"], "glad": ["finally", "just as planned", "luck"], "tired": ["after a long argument", "still", "third time"]}
-
+from memloom.functions import markers as M
 
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
@@ -51,22 +35,66 @@ def first_best(scores: dict[str, Column], none: str) -> Column:
 
 
 def topic(text: Column) -> Column:
-    return first_best({k: hits(text, w) for k, w in TOPICS.items()}, "general")
+    return first_best({k: hits(text, w) for k, w in M.TOPICS.items()}, "general")
 
 
-def memory_type(text: Column) -> tuple[Column, Column]:
-    """Kind of memory and confidence: hits of each kind, longer texts score higher, a solved problem is a milestone."""
-    s = {k: count_of(F.lower(text), p) for k, p in MEMORY_TYPES.items()}
-    kind = first_best(s, "none")
-    kind = F.when((kind == "problem") & (s["milestone"] > 0), "milestone").otherwise(kind)
-    bonus = F.when(F.length(text) > 500, 2).when(F.length(text) > 200, 1).otherwise(0)
+def gate(text: Column) -> Column:
+    return first_best({k: hits(text, w) for k, w in M.GATES.items()}, "general")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def segments(text: Column) -> Column:
+    """Turns of a conversation of at least three, else paragraphs, else (one paragraph of more than 20 lines) groups of 25 lines;
+    without blank ones."""
+    turns = F.split(F.regexp_replace(text, f"({M.TURN})", "\x01$1"), "\x01")
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), stripped), lambda x: x != "")
+    groups = line_groups(text)
+    some = F.when(count_of(text, M.TURN) >= 3, turns).when((F.size(paragraphs) <= 1) & (F.size(F.split(text, "\n")) > 20), groups).otherwise(paragraphs)
+    return F.filter(F.transform(some, stripped), lambda x: x != "")
+
+
+FENCE = r"(?ms)^\s*```.*?(?:^\s*```[^\n]*$|\z)"
+
+
+def prose(segment: Column) -> Column:
+    """A segment without lines of code; the segment if nothing is left."""
+    letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    code = lambda x: x.rlike(M.CODE_LINE) | ((F.length(x) > 10) & (letters(x) < 0.4 * F.length(x)))
+    kept = F.filter(F.split(F.regexp_replace(segment, FENCE, ""), "\n"), lambda x: ~code(F.trim(x)))
+    return F.coalesce(F.nullif(stripped(F.array_join(kept, "\n")), F.lit("")), segment)
+
+
+def memory_scores(lower: Column) -> dict[str, Column]:
+    """How often the markers of each kind of memory occur."""
+    return {k: reduce(lambda a, b: a + b, [count_of(lower, p) for p in ps]) for k, ps in M.MEMORY_TYPES.items()}
+
+
+def memory_type(df: DataFrame, segment: str, lower: str) -> DataFrame:
+    """Adds ``kind`` (``none`` without any marker) and ``confidence`` of each segment; ``lower`` is its prose in lower case. Longer segments
+    score higher; a problem that was solved is a milestone, or emotional where the feeling is good."""
+    df = df.withColumns({f"_{k}": c for k, c in memory_scores(F.col(lower)).items()})
+    s = {k: F.col(f"_{k}") for k in M.MEMORY_TYPES}
+    words = F.array_distinct(F.regexp_extract_all(lower, F.lit(r"\w+"), F.lit(0)))
+    of = lambda ws: F.size(F.array_intersect(words, F.array(*map(F.lit, ws))))
+    good = of(M.POSITIVE) > of(M.NEGATIVE)
+    bonus = F.when(F.length(segment) > 500, 2).when(F.length(segment) > 200, 1).otherwise(0)
     best = F.greatest(*s.values())
-    return kind, F.round(F.when(best > 0, F.least(F.lit(1.0), (best + bonus) / 5.0)).otherwise(0.0), 6)
+    solved = F.when((s["emotional"] > 0) & good, "emotional").otherwise("milestone")
+    kind = first_best(s, "none")
+    unsolved = F.when(good & (s["milestone"] > 0), "milestone").when(good & (s["emotional"] > 0), "emotional").otherwise("problem")
+    kind = F.when(kind == "problem", F.when(F.col(lower).rlike(M.RESOLVED), solved).otherwise(unsolved)).otherwise(kind)
+    confidence = F.round(F.when(best > 0, F.least(F.lit(1.0), (best + bonus) / 5.0)).otherwise(0.0), 6)
+    return df.withColumns({"kind": kind, "confidence": confidence}).drop(*(f"_{k}" for k in s))
 
 
-def emotions(text: Column, most: int = 3) -> Column:
-    found = F.filter(F.array(*(F.when(hits(text, w) > 0, k) for k, w in EMOTIONS.items())), lambda x: x.isNotNull())
-    return F.slice(found, 1, most)
+def signals(text: Column, codes: dict[str, str], most: int = 3) -> Column:
+    """The first ``most`` codes of the signals that the lower-cased text contains."""
+    low = F.lower(text)
+    found = F.filter(F.array(*(F.when(F.contains(low, F.lit(w)), c) for w, c in codes.items())), lambda x: x.isNotNull())
+    return F.slice(F.array_distinct(found), 1, most)
 
 
 def fixed_chunks(text: Column, size: int, least: int) -> Column:
@@ -121,13 +149,13 @@ def md_entries(text: Column) -> Column:
 
 
 def key_sentence(text: Column, most: int = 55) -> Column:
-    """The sentence that says most: decision words count 2, short sentences more, long ones less; the first of equals,
-    cut at ``most`` characters."""
-    sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 10)
-    words = ["decided", "because", "instead", "rather", "important", "must", "finally"]
-    score = lambda s: 2 * hits(s, words) + F.when(F.length(s) < 40, 2).when(F.length(s) < 80, 1).when(F.length(s) > 150, -2).otherwise(0)
+    """The sentence that says most: decision words count 2, short sentences more, long ones less; the first of equals. One longer
+    than ``most`` characters ends in three dots."""
+    sentences = F.filter(F.transform(F.split(text, r"[.!?\n]+"), stripped), lambda s: F.length(s) > 10)
+    score = lambda s: 2 * hits(s, M.DECISION_WORDS) + F.when(F.length(s) < 40, 2).when(F.length(s) < 80, 1).when(F.length(s) > 150, -2).otherwise(0)
     ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s)).alias("k"), i.alias("i"), s.alias("s"))))
-    return F.substring(F.get(F.transform(ranked, lambda r: r["s"]), F.lit(0)), 1, most)
+    best = F.get(F.transform(ranked, lambda r: r["s"]), F.lit(0))
+    return F.when(F.length(best) > most, F.concat(F.substring(best, 1, most - 3), F.lit("..."))).otherwise(best)
 
 
 def token_estimate(text: Column) -> Column:
@@ -253,3 +281,15 @@ def packed(text: str, most: int = 2000) -> list[str]:
 @F.pandas_udf(ArrayType(_CHUNK))
 def packed_lines(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"i": k, "text": p} for k, p in enumerate(packed(t))] if t else [])
+
+
+def sessions(docs: DataFrame, header: str, restored: list[str], least: int) -> DataFrame:
+    """(doc_id, session, first_line, lines): the sessions of each text (doc_id, text), which begin at a line that starts with ``header``
+    unless one of the marks ``restored`` stands in it or the five lines behind; those of fewer than ``least`` lines are left out, and so is
+    what stands before the first. The windows run within one text."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    mark = reduce(lambda a, b: a | b, [F.contains("line", F.lit(r)) for r in restored])
+    again = F.max(mark.cast("int")).over(w.rowsBetween(0, 5)) > 0
+    n = lines.withColumn("opens", F.startswith("line", F.lit(header)) & ~again).withColumn("session", F.sum(F.col("opens").cast("long")).over(w))
+    return n.where("session > 0").groupBy("doc_id", "session").agg((F.min("i") + 1).alias("first_line"), F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= least)

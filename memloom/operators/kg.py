@@ -103,6 +103,15 @@ def upsert_triples(facts: DataFrame, new: DataFrame) -> DataFrame:
     return both.unionByName(closed.select(*keys, "valid_from", "valid_to", "confidence", F.lit("kept").alias("change")))
 
 
+def checked(triples: DataFrame, batch: str, least: float = 0.0) -> DataFrame:
+    """(batch, triples, bad, accepted) for every batch: a triple is bad if one of its names is blank or its confidence is not between
+    ``least`` and 1; a batch with a bad triple is refused as a whole."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = blank("subject") | blank("predicate") | blank("object") | F.coalesce(~F.col("confidence").between(least, 1), F.lit(False))
+    n = triples.groupBy(batch).agg(F.count(F.lit(1)).alias("triples"), F.sum(bad.cast("long")).alias("bad"))
+    return n.withColumn("accepted", F.when(F.col("bad") == 0, F.col("triples")).otherwise(0))
+
+
 def invalidate(facts: DataFrame, gone: Column, day: str) -> DataFrame:
     """Open facts that ``gone`` holds for end on ``day``, unless they begin later."""
     hit = F.col("valid_to").isNull() & gone & (F.col("valid_from").isNull() | (start_key(F.col("valid_from")) <= F.lit(day + "T23:59:59.999999Z")))

@@ -80,3 +80,16 @@ def add_absent(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 def delete(df: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """``df`` without the rows whose key is in ``gone``."""
     return df.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def merged_metadata(metadata: Column, new: dict[str, Column]) -> Column:
+    """The JSON object ``metadata`` as a map of texts, with the values ``new`` put over it key by key; null counts as empty."""
+    old = F.coalesce(F.from_json(metadata, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    keys = list(new)
+    kept = F.map_filter(old, lambda k, v: ~k.isin(keys))
+    return F.map_concat(kept, F.create_map(*(x for k, v in new.items() for x in (F.lit(k), v.cast("string")))))
+
+
+def is_registry(key: Column) -> Column:
+    """Rows that only mark a source as mined."""
+    return F.coalesce(meta("ingest_mode") == "registry", F.lit(False)) | F.coalesce(meta("domain") == "_registry", F.lit(False)) | key.startswith("_reg_")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from memloom.operators import history, timestamps
-from memloom.plans import graph, kg, relational, search, streams, text, times_sql
+from memloom.plans import graph, ingest, kg, relational, search, streams, text, times_sql
 
-_MODULES = (relational, search, kg, graph, text, streams)
+_MODULES = (relational, search, kg, graph, text, ingest, streams)
 
 QUERIES = {
     "p2_found": history.p2_found,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memloom.functions import markers as M
 from memloom.functions import text as T
 from memloom.functions.words import words
 from memloom.operators.timestamps import adapters, created
@@ -82,39 +83,85 @@ def _first(scores: dict[str, str], none: str) -> str:
     return f"CASE WHEN {g} <= 0 THEN '{none}' " + " ".join(f"WHEN {s} = {g} THEN '{k}'" for k, s in scores.items()) + " END"
 
 
-@query(f"{WITH} SELECT id, {_first({k: _hits('content', w) for k, w in T.TOPICS.items()}, 'general')} AS topic FROM ents WHERE content IS NOT NULL")
+def _route(lists: dict[str, list[str]]) -> str:
+    return _first({k: _hits("content", w) for k, w in lists.items()}, "general")
+
+
+@query(f"{WITH} SELECT id, {_route(M.TOPICS)} AS topic, {_route(M.GATES)} AS gate FROM ents WHERE content IS NOT NULL")
 def topic_routing(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where("content IS NOT NULL").select("id", T.topic(F.col("content")).alias("topic"))
+    return entities(spark, d).where("content IS NOT NULL").select("id", T.topic(F.col("content")).alias("topic"), T.gate(F.col("content")).alias("gate"))
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
-_MT = {k: f"len(regexp_extract_all(lower(content), '{p}'))" for k, p in T.MEMORY_TYPES.items()}
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SEGMENTS = rf"""seg AS (SELECT id, s, i FROM (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS i FROM (SELECT id, list_filter(list_transform(
+    CASE WHEN len(regexp_extract_all(content, '{M.TURN}')) >= 3 THEN string_split(regexp_replace(content, '({M.TURN})', chr(1) || '\1', 'g'), chr(1))
+    WHEN len(list_filter(string_split(content, chr(10) || chr(10)), lambda x: {_STRIP.format('x')} <> '')) <= 1 AND len(string_split(content, chr(10))) > 20 THEN list_transform(range(0, (len(string_split(content, chr(10))) - 1) // 25 + 1), lambda i: array_to_string(string_split(content, chr(10))[i * 25 + 1 : i * 25 + 25], chr(10)))
+    ELSE string_split(content, chr(10) || chr(10)) END, lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS l FROM ents WHERE content IS NOT NULL)) WHERE length(s) >= 20)"""
+_CODE = rf"(regexp_matches(trim(x, ' '), '{M.CODE_LINE}') OR (length(trim(x, ' ')) > 10 AND length(regexp_replace(trim(x, ' '), '[^\p{{L}}]', '', 'g')) < 0.4::DOUBLE * length(trim(x, ' '))))"
+_PROSE = f"""{_SEGMENTS}, low AS (SELECT id, i, s, lower(coalesce(nullif({_STRIP.format(f"array_to_string(list_filter(string_split(regexp_replace(s, '{T.FENCE}', '', 'g'), chr(10)), lambda x: NOT {_CODE}), chr(10))")}, ''), s)) AS p FROM seg)"""
+_MT = {k: "(" + " + ".join(f"len(regexp_extract_all(p, '{_q(x)}'))" for x in ps) + ")" for k, ps in M.MEMORY_TYPES.items()}
+_FEEL = r"len(list_intersect(list_distinct(regexp_extract_all(p, '\w+')), [{}]))"
+_GOOD = f"({_FEEL.format(', '.join(repr(w) for w in M.POSITIVE))} > {_FEEL.format(', '.join(repr(w) for w in M.NEGATIVE))})"
 
 
 @query(
-    f"""{WITH}, m AS (SELECT id, {_first(_MT, 'none')} AS k, greatest({', '.join(_MT.values())}) AS best, {_MT['milestone']} AS milestones, CASE WHEN length(content) > 500 THEN 2 WHEN length(content) > 200 THEN 1 ELSE 0 END AS bonus FROM ents WHERE content IS NOT NULL)
-    SELECT id, kind, confidence FROM (SELECT id, CASE WHEN k = 'problem' AND milestones > 0 THEN 'milestone' ELSE k END AS kind, round(CASE WHEN best > 0 THEN least(1::DOUBLE, (best + bonus) / 5::DOUBLE) ELSE 0 END, 6) AS confidence FROM m) WHERE confidence >= 0.3"""
+    f"""{WITH}, {_PROSE}, m AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _MT.items())} FROM low), k AS (SELECT *, greatest({', '.join(_MT)}) AS best, {_first({k: k for k in _MT}, 'none')} AS first, {_GOOD} AS good FROM m)
+    SELECT id, i::INT AS i, kind, confidence FROM (SELECT id, i, CASE WHEN first <> 'problem' THEN first WHEN regexp_matches(p, '{M.RESOLVED}') THEN CASE WHEN emotional > 0 AND good THEN 'emotional' ELSE 'milestone' END
+    WHEN good AND milestone > 0 THEN 'milestone' WHEN good AND emotional > 0 THEN 'emotional' ELSE 'problem' END AS kind,
+    round(CASE WHEN best > 0 THEN least(1::DOUBLE, (best + CASE WHEN length(s) > 500 THEN 2 WHEN length(s) > 200 THEN 1 ELSE 0 END) / 5::DOUBLE) ELSE 0 END, 6) AS confidence FROM k) WHERE confidence >= 0.3"""
 )
 def memory_types(spark: SparkSession, d: str) -> DataFrame:
-    kind, conf = T.memory_type(F.col("content"))
-    return entities(spark, d).where("content IS NOT NULL").select("id", kind.alias("kind"), conf.alias("confidence")).where("confidence >= 0.3")
+    """The kind of memory of each segment of a text."""
+    seg = entities(spark, d).where("content IS NOT NULL").select("id", F.posexplode(T.segments(F.col("content"))).alias("i", "s")).where(F.length("s") >= 20)
+    seg = seg.select("id", "i", "s", F.lower(T.prose(F.col("s"))).alias("low"))
+    return T.memory_type(seg, "s", "low").where("confidence >= 0.3").select("id", "i", "kind", "confidence")
+
+
+def _signals(codes: dict[str, str]) -> str:
+    return f"list_filter([{', '.join(f'CASE WHEN contains(lower(content), {w!r}) THEN {c!r} END' for w, c in codes.items())}], lambda x: x IS NOT NULL)"
+
 
+_FIRST3 = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:3], ',')"
 
-@query(f"{WITH} SELECT id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_hits("content", w)} > 0 THEN {chr(39)}{k}{chr(39)} END' for k, w in T.EMOTIONS.items())}], lambda x: x IS NOT NULL)[1:3], ',') AS emotions FROM ents WHERE content IS NOT NULL")
+
+@query(f"{WITH} SELECT id, {_FIRST3.format('e')} AS emotions, {_FIRST3.format('f')} AS flags FROM (SELECT id, {_signals(M.EMOTIONS)} AS e, {_signals(M.FLAGS)} AS f FROM ents WHERE content IS NOT NULL)")
 def emotion_flags(spark: SparkSession, d: str) -> DataFrame:
-    return entities(spark, d).where("content IS NOT NULL").select("id", F.array_join(T.emotions(F.col("content")), ",").alias("emotions"))
+    c = F.col("content")
+    return entities(spark, d).where("content IS NOT NULL").select("id", F.array_join(T.signals(c, M.EMOTIONS), ",").alias("emotions"), F.array_join(T.signals(c, M.FLAGS), ",").alias("flags"))
 
 
-_KS = _hits("s", ["decided", "because", "instead", "rather", "important", "must", "finally"])
+_KS = _hits("s", M.DECISION_WORDS)
 
 
 @query(
-    f"""{WITH}, s AS (SELECT id, trim(s, ' ') AS s, i FROM (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT id, string_split_regex(content, '[.!?\\n]+') AS l FROM ents WHERE content IS NOT NULL)))
-    SELECT id, substr(s, 1, 55) AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY 2 * {_KS} + CASE WHEN length(s) < 40 THEN 2 WHEN length(s) < 80 THEN 1 WHEN length(s) > 150 THEN -2 ELSE 0 END DESC, i) AS k FROM s WHERE length(s) > 10) WHERE k = 1"""
+    f"""{WITH}, s AS (SELECT id, {_STRIP.format('s')} AS s, i FROM (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT id, string_split_regex(content, '[.!?\\n]+') AS l FROM ents WHERE content IS NOT NULL)))
+    SELECT id, CASE WHEN length(s) > 55 THEN substr(s, 1, 52) || '...' ELSE s END AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY 2 * {_KS} + CASE WHEN length(s) < 40 THEN 2 WHEN length(s) < 80 THEN 1 WHEN length(s) > 150 THEN -2 ELSE 0 END DESC, i) AS k FROM s WHERE length(s) > 10) WHERE k = 1"""
 )
 def key_sentence(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).select("id", T.key_sentence(F.col("content")).alias("sentence")).where("sentence IS NOT NULL")
 
 
+_STOP = ", ".join(repr(w) for w in M.STOPWORDS)
+
+
+@query(
+    f"""{WITH}, w AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT id, regexp_extract_all(content, '[a-zA-Z][a-zA-Z_-]{{2,}}') AS l FROM ents)),
+    t AS (SELECT id, lower(w) AS topic, sum(1 + 2 * regexp_matches(w, '^[A-Z]')::INT + 2 * regexp_matches(w, '[_-]|^.[a-zA-Z]*[A-Z]')::INT) AS weight, min(i) AS first FROM w WHERE lower(w) NOT IN ({_STOP}) GROUP BY ALL)
+    SELECT id, topic, weight::BIGINT AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, first) AS rank FROM t) WHERE rank <= 3"""
+)
+def topics_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The three words of most weight in each text: a capital or a compound counts 2 more; the first seen of equals."""
+    w = entities(spark, d).select("id", F.posexplode(F.regexp_extract_all("content", F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), F.lit(0))).alias("i", "w")).where(~F.lower("w").isin(M.STOPWORDS))
+    more = F.col("w").rlike("^[A-Z]").cast("int") + F.col("w").rlike("[_-]|^.[a-zA-Z]*[A-Z]").cast("int")
+    t = w.groupBy("id", F.lower("w").alias("topic")).agg(F.sum(1 + 2 * more).alias("weight"), F.min("i").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "first"))  # the words of one text
+    return t.withColumn("rank", rank).where("rank <= 3").select("id", "topic", "weight", "rank")
+
+
 @query(f"{WITH} SELECT id, floor(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS tokens FROM ents WHERE content IS NOT NULL")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return entities(spark, d).where("content IS NOT NULL").select("id", T.token_estimate(F.col("content")).alias("tokens"))
