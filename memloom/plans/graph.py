@@ -7,23 +7,12 @@ from pyspark.sql import functions as F
 
 from memloom.operators import graph as G
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.base import registry
 from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 def gated(spark: SparkSession, d: str, dates: bool = False) -> DataFrame:

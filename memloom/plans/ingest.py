@@ -11,29 +11,18 @@ from memloom.functions.words import words
 from memloom.operators import kg as K
 from memloom.operators import relational as R
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.base import registry
 from memloom.plans.graph import SQL as GRAPH_SQL
 from memloom.plans.graph import tunnels
 from memloom.plans.kg import _E, even
-from memloom.plans.text import _TURNS, turns
 from memloom.plans.text import SQL as TEXT_SQL
+from memloom.plans.text import _TURNS, turns
 from memloom.plans.text import l1_essential
 from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, facts, meta, meta_sql, nodes
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 # Changes

@@ -7,27 +7,16 @@ from pyspark.sql import functions as F
 
 from memloom.operators import kg as K
 from memloom.operators.timestamps import adapters, normalised_all
+from memloom.plans.base import registry
 from memloom.plans.times_sql import ADAPTERS, FACT_VALUES, MATCH, readings
 from memloom.session import table, written
 from memloom.sources.tables import WITH, entities, facts
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = registry()
 HUB = "shared_memory_hub"
 T = "2024-06-15"
 
 
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def even(c: str):
     return F.replace(F.replace(F.lower(c), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
 

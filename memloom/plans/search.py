@@ -6,27 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import search as S
+from memloom.plans.base import registry
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql, nodes
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = registry()
 TERMS = ["nightly", "ledger", "archive"]
 WORDS = ["ledger", "archive of", "quiet", "index"]
 DIM = 384
 
 
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Usable rows of docs as delivered: id, metadata, vector. Deliveries of an id don't differ, so scores are taken of all rows and
     brought to one an id afterwards."""

@@ -7,25 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.plans.base import registry
 from memloom.session import shared_dir, table
 from memloom.streaming import sweep as W
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = registry()
 CUT = "2024-01-15 00:00:00"
 
 
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def messages(events: DataFrame) -> DataFrame:
     """Events as messages: session, id, ts, role."""
     return events.select(F.col("user_id").alias("session"), F.concat(F.lit("sweep_"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_id").cast("string")).alias("id"), "ts", F.col("event_type").alias("role"))

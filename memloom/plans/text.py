@@ -9,23 +9,12 @@ from memloom.functions import markers as M
 from memloom.functions import text as T
 from memloom.functions.words import words
 from memloom.operators.timestamps import adapters, created
+from memloom.plans.base import registry
 from memloom.plans.times_sql import TIMED
 from memloom.session import table
 from memloom.sources.tables import WITH, entities, meta, meta_sql
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query by its name, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
+QUERIES, SQL, query = registry()
 
 
 _W = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"

@@ -21,4 +21,4 @@ def test_same_rows(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+    assert df.count() > 0
