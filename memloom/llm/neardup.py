@@ -1,6 +1,6 @@
 """Near-duplicate texts by Hamming search under the generalised pigeonhole principle.
 
-Each text becomes a code of ``UNITS`` min-hash units of its three-word sequences. The bits of one unit change
+Each text becomes a code of ``UNITS`` min-hash units of 32 bits of its three-word sequences, so that keys of two units seldom meet by chance. The bits of one unit change
 together, so units stay whole when the code is cut into partitions. A threshold is allotted to each partition:
 with t_1 + ... + t_m = t - m + 1, two codes that differ in at most t units differ in at most t_i units in
 some partition i. Which partitions get which threshold is found by dynamic programming on candidate counts,
@@ -48,12 +48,12 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.searchsorted(row, np.arange(n))
         cls = mixed(np.add.reduceat(mixed(h), starts) + np.diff(np.append(starts, len(h))).astype(np.uint64))
         fine = np.zeros((n, 2), np.uint64)
-        units = np.empty((n, UNITS), np.uint16)
+        units = np.empty((n, UNITS), np.uint32)
         for k in range(FINE):
             least = np.minimum.reduceat((h * a[k]) >> np.uint64(16), starts)
             least = mixed(least)
             if k < UNITS:
-                units[:, k] = (least >> np.uint64(40)).astype(np.uint16)
+                units[:, k] = (least >> np.uint64(32)).astype(np.uint32)
             fine[:, k // 32] |= (least & np.uint64(3)) << np.uint64(2 * (k % 32))
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), pa.array(cls.view(np.int64)), pa.array(fine[:, 0].view(np.int64)), pa.array(fine[:, 1].view(np.int64)), pa.array([r.tobytes() for r in units], pa.binary())],
@@ -74,7 +74,7 @@ def part_keys(units: np.ndarray, part: int, left_out: int) -> np.ndarray:
 
 
 def _unpacked(b: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column("units").to_pylist()), np.uint16).reshape(-1, UNITS)
+    return np.frombuffer(b"".join(b.column("units").to_pylist()), np.uint32).reshape(-1, UNITS)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def group_pairs(groups: DataFrame, block: int = 64) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different entity ids in one group of near-duplicates."""
+    """Pairs of different entity ids in one group of near-duplicates: ``p1_groups`` written out, n (n - 1) / 2 rows for a group of n."""
     return group_pairs(near_duplicates(table(spark, sf_dir, "entities")))
 
 
