@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.words import word_hashes
 from memloom.llm.arrays import distinct, flat, mixed, shingles
+from memloom.operators.graph import components
 from memloom.session import table, written
 
 SIZE = 3  # words in a sequence
@@ -118,22 +119,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(small.astype(np.uint32).view(np.int32)))], ["cls", "s"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Least label of each connected component: (node, label) for every node of an edge. Labels of neighbours are
-    taken over until none changes, jumping to the label of the label in each round, so rounds grow with the
-    logarithm of a chain's length."""
-    both = written(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        new = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("near"))
-        up = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        new = written(new.join(up, "near", "left").select("node", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if not new.where("moved").limit(1).count():
-            return labels
-
-
 def near_duplicates(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """Groups of near-duplicate texts: (id, cls, label), a row for every distinct id whose text has at least
     ``LEAST_WORDS`` words; ``cls`` is the class of equal sequence sets, ``label`` that of the group.
@@ -161,7 +146,7 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "content") -> Da
     j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = written(j.where(both >= F.lit(SIMILARITY) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-    labels = components(links)
+    labels = components(links).withColumnRenamed("component", "label")
     members = coded.select("id", "cls").distinct()
     return members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", F.coalesce("label", "cls").alias("label"))
 
