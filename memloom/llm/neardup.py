@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.words import word_hashes
 from memloom.llm.arrays import distinct, flat, mixed, shingles
-from memloom.operators.graph import components
+from memloom.operators import graph
 from memloom.session import table, written
 
 SIZE = 3  # words in a sequence
@@ -119,6 +119,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(small.astype(np.uint32).view(np.int32)))], ["cls", "s"])
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each connected component, for edges (a, b)."""
+    return graph.components(edges).withColumnRenamed("component", "label")
+
+
 def near_duplicates(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """Groups of near-duplicate texts: (id, cls, label), a row for every distinct id whose text has at least
     ``LEAST_WORDS`` words; ``cls`` is the class of equal sequence sets, ``label`` that of the group.
@@ -146,7 +151,7 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "content") -> Da
     j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = written(j.where(both >= F.lit(SIMILARITY) * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-    labels = components(links).withColumnRenamed("component", "label")
+    labels = components(links)
     members = coded.select("id", "cls").distinct()
     return members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", F.coalesce("label", "cls").alias("label"))
 
