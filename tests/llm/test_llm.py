@@ -423,3 +423,11 @@ def test_one_pass_over_the_texts(spark, tmp_path):
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     got = {r["doc_id"]: (r["word_count"], r["is_prose"]) for r in out.collect()}
     assert got == {1: (9, True), 2: (0, True), 3: (0, True), 4: (9, False)}
+
+
+def test_shares_reached_on_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    rows = QUERIES["p8_report"](spark, d).collect()
+    assert len(rows) == 12 and max(abs(r["actual_share"] - r["target_share"]) for r in rows) < 0.002
